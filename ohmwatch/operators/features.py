@@ -51,13 +51,13 @@ def numeric_columns(df: DataFrame, exclude: Sequence[str] = (KEY, *META)) -> lis
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and f.name not in exclude]
 
 
-def add_zscore(df: DataFrame, column: str, name: str, stats: Moments | None = None) -> DataFrame:
-    """``(x - mean) / (std + 1e-6)``; the moments come from ``df`` itself unless fitted ones are given."""
-    if stats is None:
-        batch = moments(df, column)
-        mean, std = batch.select("mean").scalar(), batch.select("std").scalar()
+def add_zscore(df: DataFrame, column: str, name: str, source: Moments | DataFrame | None = None) -> DataFrame:
+    """``(x - mean) / (std + 1e-6)`` with the moments of ``source``: a table, fitted ones, or ``df`` itself."""
+    if isinstance(source, Moments):
+        mean, std = F.lit(source.mean), F.lit(source.std)
     else:
-        mean, std = F.lit(stats.mean), F.lit(stats.std)
+        batch = moments(df if source is None else source, column)
+        mean, std = batch.select("mean").scalar(), batch.select("std").scalar()
     return df.withColumn(name, (F.col(column) - mean) / (std + STD_FLOOR))
 
 
@@ -137,10 +137,10 @@ def feature_matrix(
     ``df`` is read more than once, so pass a stored table.  With ``include_categoricals`` the given values
     become 0/1 features; without it categorical columns do not reach the matrix.
     """
-    out = add_rolling(nan_to_null(df), partition_by, key, bucket_rows)
-    # The moments are those of df: the rolling columns do not change them and would be recomputed.
-    batch = stats if stats is not None else nan_to_null(df)
-    out = _zscore_from(out, batch)
+    clean = nan_to_null(df)
+    # The moments are taken before the rolling columns, which do not change them.
+    out = add_rolling(clean, partition_by, key, bucket_rows)
+    out = add_zscore(out, "packet_size", "packet_size_zscore", clean if stats is None else stats)
     if include_categoricals:
         out = one_hot(out, include_categoricals)
         flags = [f"{c}_{v}" for c, kept in include_categoricals.items() for v in kept]
@@ -150,14 +150,6 @@ def feature_matrix(
     return fill_missing(out, kept).select(key, *meta, *kept)
 
 
-def _zscore_from(df: DataFrame, source: Moments | DataFrame) -> DataFrame:
-    if isinstance(source, Moments):
-        return add_zscore(df, "packet_size", "packet_size_zscore", source)
-    batch = moments(source, "packet_size")
-    deviation = F.col("packet_size") - batch.select("mean").scalar()
-    return df.withColumn("packet_size_zscore", deviation / (batch.select("std").scalar() + STD_FLOOR))
-
-
 def clip(column: Column, lower: float | None = None, upper: float | None = None) -> Column:
     """Bound a column; a missing value stays missing."""
     out = column

@@ -38,7 +38,10 @@ def exact_quantile(
 
 
 def _value_at(rows: DataFrame, rank: int, lo: float, hi: float) -> float:
-    """The value at a 0-based rank of the sorted, weighted column."""
+    """The value at a 0-based rank of the sorted, weighted column.
+
+    The least value falls in bin 0 and the greatest in the last one, so every pass narrows the range.
+    """
     skipped = 0
     while lo < hi:
         inside = rows.where(F.col("v").between(lo, hi))
@@ -53,10 +56,6 @@ def _value_at(rows: DataFrame, rank: int, lo: float, hi: float) -> float:
             if skipped + row["n"] > rank:
                 break
             skipped += row["n"]
-        if (row["lo"], row["hi"]) == (lo, hi):
-            # Neighbouring doubles: the bin cannot be divided further.
-            at_low = inside.where(F.col("v") == lo).agg(F.sum("w")).first()[0]
-            return lo if skipped + at_low > rank else hi
         lo, hi = row["lo"], row["hi"]
     return lo
 

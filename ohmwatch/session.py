@@ -73,3 +73,13 @@ def small_or_stored(df: DataFrame, name: str, limit: int = BROADCAST_ROWS) -> Da
     if stored.limit(limit + 1).count() <= limit:
         return F.broadcast(stored)
     return stored
+
+
+def fan_out(table: DataFrame) -> DataFrame:
+    """Deal a small stored table out to all cores before costly work on its rows.
+
+    Files are split by bytes, so a few megabytes are one task.  A table that already has as many partitions
+    as there are cores is left alone, so nothing large is shuffled.  Pass a scan, not a computed result.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
