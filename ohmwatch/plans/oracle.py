@@ -472,4 +472,11 @@ ORACLE: dict[str, str] = {
               || 'Risk: criticality=High, impact=Medium, severity=High, business_risk_score=0.780000' AS response_prompt"""
     ),
     "prompt_hash": "SELECT conv_id, turn, substr(sha256(role || text), 1, 8) AS prompt_id FROM conversations",
+    "index_reload": f"""WITH {WEIGHTS}{search('SELECT item_id AS query_id, text FROM benchmark')}
+        SELECT query_id, rank, doc_id, chunk_no, {r6('score')} FROM ranked""",
+    "stream_rolling": f"""WITH {TRAFFIC}
+        SELECT record_id, {r6('avg(request_rate) OVER w', 'rolling_request_rate_mean')},
+               {r6('coalesce(stddev_samp(latency_ms) OVER w, 0.0)', 'rolling_latency_std')}
+        FROM traffic
+        WINDOW w AS (PARTITION BY src_asset ORDER BY ts_us, record_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""",
 }

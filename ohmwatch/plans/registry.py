@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -15,6 +16,8 @@ from ohmwatch.schema import CAUSE_REPLY, CATEGORICAL, FEATURES, KEY, RAW_NUMERIC
 from ohmwatch.session import fan_out, scratch_path, store
 from ohmwatch.sources import documents as documents_source
 from ohmwatch.sources import sinks, traffic as traffic_source
+from ohmwatch.streaming import scoring
+from ohmwatch.streaming.rolling import RollingStream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,8 +42,8 @@ def traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store(traffic_source.ingest_events(table(spark, sf_dir, "events")), "traffic")
 
 
-def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store(features.feature_matrix(traffic(spark, sf_dir)), "matrix")
+def matrix(records: DataFrame) -> DataFrame:
+    return store(features.feature_matrix(records), "matrix")
 
 
 def r6(column: str | Column, name: str | None = None) -> Column:
@@ -221,9 +224,9 @@ def quantile_cutoff(spark, sf_dir):
     return spark.createDataFrame(rows, "q double, cutoff double").select("q", r6("cutoff"))
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored(records: DataFrame) -> DataFrame:
     """Verdicts of two one-column detectors, which SQL can repeat: packet-size deviation and latency spread."""
-    m = matrix(spark, sf_dir).withColumns(
+    m = matrix(records).withColumns(
         {"if_raw": F.abs("packet_size_zscore"), "lof_raw": F.col("rolling_latency_std")}
     )
     for name in ("if", "lof"):
@@ -235,40 +238,40 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def anomaly_rates(spark, sf_dir):
-    out = evaluate.anomaly_rates(scored(spark, sf_dir))
+    out = evaluate.anomaly_rates(scored(traffic(spark, sf_dir)))
     return out.select(r6("anomaly_rate"), r6("attack_rate"), "anomaly_count", "record_count")
 
 
 @query
 def flag_rate_by_label(spark, sf_dir):
-    return evaluate.flag_rate_by_class(scored(spark, sf_dir)).select("is_attack", r6("flag_rate"), "n")
+    return evaluate.flag_rate_by_class(scored(traffic(spark, sf_dir))).select("is_attack", r6("flag_rate"), "n")
 
 
 @query
 def confusion_metrics(spark, sf_dir):
-    out = evaluate.confusion(scored(spark, sf_dir))
+    out = evaluate.confusion(scored(traffic(spark, sf_dir)))
     return out.select("tp", "fp", "fn", "tn", r6("precision"), r6("recall"), r6("f1"))
 
 
 @query
 def anomaly_filter(spark, sf_dir):
-    return ensemble.anomalies(scored(spark, sf_dir)).select(KEY, r6("ensemble_score"))
+    return ensemble.anomalies(scored(traffic(spark, sf_dir))).select(KEY, r6("ensemble_score"))
 
 
 @query
 def top_anomalies(spark, sf_dir):
-    return ensemble.top_anomalies(scored(spark, sf_dir), 3).select(KEY, r6("ensemble_score"))
+    return ensemble.top_anomalies(scored(traffic(spark, sf_dir)), 3).select(KEY, r6("ensemble_score"))
 
 
 @query
 def verdict_projection(spark, sf_dir):
-    return ensemble.verdicts(scored(spark, sf_dir)).select(KEY, TIME, "is_anomaly", r6("ensemble_score"))
+    return ensemble.verdicts(scored(traffic(spark, sf_dir))).select(KEY, TIME, "is_anomaly", r6("ensemble_score"))
 
 
 @query
 def key_lookup(spark, sf_dir):
-    flagged = ensemble.anomalies(scored(spark, sf_dir))
-    out = incidents.enrich(flagged, traffic(spark, sf_dir))
+    records = traffic(spark, sf_dir)
+    out = incidents.enrich(ensemble.anomalies(scored(records)), records)
     return out.select(KEY, *CATEGORICAL, r6("packet_size"))
 
 
@@ -297,7 +300,7 @@ def lof_embeddings(spark, sf_dir):
 
 def lof_of_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Train features, test features, and the scores of the test records."""
-    train, test = split.split(matrix(spark, sf_dir))
+    train, test = split.split(matrix(traffic(spark, sf_dir)))
     model = lof.fit(store(lof.as_points(train, FEATURES), "train-points"))
     return train, test, lof.score(model, store(lof.as_points(test, FEATURES), "test-points"))
 
@@ -324,13 +327,13 @@ def ensemble_verdict(spark, sf_dir):
 
 @query
 def ensemble_intersection(spark, sf_dir):
-    both = scored(spark, sf_dir).drop("ensemble_score", "is_anomaly")
+    both = scored(traffic(spark, sf_dir)).drop("ensemble_score", "is_anomaly")
     return ensemble.add_verdict(both, "intersection", 0.6).select(KEY, r6("ensemble_score"), "is_anomaly")
 
 
 @query
 def iforest_scores(spark, sf_dir):
-    m = matrix(spark, sf_dir)
+    m = matrix(traffic(spark, sf_dir))
     model = iforest.fit(m, FEATURES)
     out = iforest.score(model, fan_out(m.select(KEY, *FEATURES)), "score")
     return out.select(KEY, r6("score"), (F.col("score") > model.cutoff).alias("is_outlier"))
@@ -430,7 +433,8 @@ def retrieve_topk(spark, sf_dir):
 
 
 def flagged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return incidents.events(scored(spark, sf_dir), traffic(spark, sf_dir))
+    records = traffic(spark, sf_dir)
+    return incidents.events(scored(records), records)
 
 
 @query
@@ -545,7 +549,8 @@ def knowledge_attach(spark, sf_dir):
 
 @query
 def incident_report(spark, sf_dir):
-    out = incidents.investigate(scored(spark, sf_dir), traffic(spark, sf_dir), index(spark, sf_dir))
+    records = traffic(spark, sf_dir)
+    out = incidents.investigate(scored(records), records, index(spark, sf_dir))
     return out.select(
         KEY, "attack_type", "protocol", "target", "severity", "confidence", "impact", joined("recommended_actions"),
         "root_cause", joined("knowledge_references", "\n"),
@@ -571,7 +576,8 @@ def dispatch_status(spark, sf_dir):
 
 @query
 def alert_table(spark, sf_dir):
-    reported = incidents.investigate(scored(spark, sf_dir), traffic(spark, sf_dir))
+    records = traffic(spark, sf_dir)
+    reported = incidents.investigate(scored(records), records)
     path = scratch_path(spark, "alerts")
     sinks.append_alerts(incidents.alerts(reported), path)
     sent = spark.read.parquet(path)
@@ -637,3 +643,89 @@ def prompt_hash(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select(
         "conv_id", "turn", I.prompt_id(F.col("role"), F.col("text")).alias("prompt_id")
     )
+
+
+# Streams.  Each runs over all rows of the events table, as one or more micro-batches.
+
+
+def feed(records: DataFrame, parts: int, writer_of, name: str) -> None:
+    """Append the records to a folder in ``parts`` steps of time; after each the stream reads what is new.
+
+    The stream stops and resumes from its progress in between, as it would after a failure.
+    """
+    spark = records.sparkSession
+    folder, progress = scratch_path(spark, f"{name}-input"), scratch_path(spark, f"{name}-progress")
+    now = F.unix_micros(TIME)
+    lo, hi = records.agg(F.min(now), F.max(now)).first()
+    step = F.least(F.floor((now - lo) * parts / max(1, hi - lo)), F.lit(parts - 1))
+    for part in range(parts):
+        records.where(step == part).write.mode("append").parquet(folder)
+        source = scoring.read_stream(spark, folder, records.schema)
+        started = writer_of(source).option("checkpointLocation", progress).trigger(availableNow=True).start()
+        started.awaitTermination()
+
+
+@query
+def stream_micro_batch(spark, sf_dir):
+    records = traffic(spark, sf_dir)
+    train, _ = split.split(records)
+    model = detector.fit(train)
+    out = scratch_path(spark, "stream-scored")
+    feed(records, 2, lambda source: scoring.score_batches(source, model, out), "micro-batch")
+    return spark.read.parquet(out).select(KEY, "attack_type", r6("ensemble_score"), "is_anomaly")
+
+
+@query
+def stream_stateless(spark, sf_dir):
+    records = traffic(spark, sf_dir)
+    prepared = features.add_zscore(records, "packet_size", "packet_size_zscore")
+    forest = iforest.fit(store(prepared, "prepared"), [*RAW_NUMERIC, "packet_size_zscore"])
+    out, moments = scratch_path(spark, "stream-rows"), features.fit_moments(records, "packet_size")
+
+    def writer(source):
+        rows = scoring.score_rows(source, forest, moments)
+        return rows.writeStream.format("parquet").option("path", out)
+
+    feed(records, 2, writer, "stateless")
+    return spark.read.parquet(out).select(KEY, r6("packet_size_zscore"), r6("if_raw"), "if_is_anomaly")
+
+
+@query
+def stream_rolling(spark, sf_dir):
+    records = traffic(spark, sf_dir)
+    rolling = RollingStream(spark, scratch_path(spark, "stream-rolling"), timedelta(hours=1))
+    feed(records, 3, rolling.write, "rolling")
+    rolling.finish(1_000_000)
+    return rolling.result().select(KEY, r6("rolling_request_rate_mean"), r6("rolling_latency_std"))
+
+
+@query
+def stream_alerts(spark, sf_dir):
+    records = traffic(spark, sf_dir)
+    train, _ = split.split(records)
+    model = detector.fit(train)
+    out = scratch_path(spark, "stream-alerts")
+    feed(records, 2, lambda source: scoring.raise_alerts(source, model, out), "alerts")
+    sent = spark.read.parquet(out)
+    return sent.select(KEY, F.get_json_object("payload", "$.attack_type").alias("attack_type"), "sent", "mode")
+
+
+@query
+def detector_reload(spark, sf_dir):
+    train, test = split.split(traffic(spark, sf_dir))
+    path = scratch_path(spark, "detector")
+    detector.save(detector.fit(train), path)
+    out = detector.predict(detector.load(spark, path), test, mode="fitted")
+    return out.select(KEY, r6("ensemble_score"), "is_anomaly")
+
+
+@query
+def index_reload(spark, sf_dir):
+    path = scratch_path(spark, "text-index")
+    retrieval.save_index(index(spark, sf_dir), path)
+    loaded = retrieval.load_or_build(spark, path, table(spark, sf_dir, "documents"))
+    out = retrieval.retrieve(loaded, benchmark_queries(spark, sf_dir))
+    return out.select(
+        "query_id", F.col("rank").cast("long").alias("rank"), "doc_id", F.col("chunk_no").cast("long").alias("chunk_no"),
+        r6("score"),
+    )
