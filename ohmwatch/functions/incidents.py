@@ -178,9 +178,13 @@ def query_text(service: Column, hint: Column | None = None) -> Column:
 
 
 def parse_reply(reply: Column, schema: T.StructType) -> Column:
-    """Fields of a JSON reply; text that is not one JSON value gives nulls."""
-    whole = F.try_parse_json(reply).isNotNull()
-    return F.from_json(F.when(whole, reply), schema, {"mode": "PERMISSIVE"})
+    """Fields of a JSON reply; text that is not exactly one JSON value gives nulls.
+
+    A parser alone stops after the first value and would accept text behind it; inside an array it cannot.
+    """
+    wrapped = F.concat(F.lit("["), reply, F.lit("]"))
+    values = F.from_json(wrapped, T.ArrayType(schema), {"mode": "PERMISSIVE"})
+    return F.when(F.size(values) == 1, F.get(values, F.lit(0)))
 
 
 def cause_from_reply(reply: Column) -> Column:
