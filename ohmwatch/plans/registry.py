@@ -388,19 +388,19 @@ def reference_lines(spark, sf_dir):
 
 @query
 def term_frequency(spark, sf_dir):
-    return retrieval.chunk_terms(chunks(spark, sf_dir)).select(
+    return retrieval.chunk_terms(retrieval.counted(chunks(spark, sf_dir))).select(
         "doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), "term", "tf"
     )
 
 
 @query
 def document_frequency(spark, sf_dir):
-    return retrieval.term_totals(chunks(spark, sf_dir))
+    return retrieval.term_totals(retrieval.counted(chunks(spark, sf_dir)))
 
 
 @query
 def vocabulary_top(spark, sf_dir):
-    v = retrieval.vocabulary(chunks(spark, sf_dir))
+    v = retrieval.vocabulary(store(retrieval.counted(chunks(spark, sf_dir)), "counted"))
     return v.select("term", F.col("term_id").cast("long").alias("term_id"), "tf", "df", r6("idf"))
 
 
@@ -411,7 +411,7 @@ def index(spark: SparkSession, sf_dir: str) -> retrieval.TextIndex:
 @query
 def tfidf_weights(spark, sf_dir):
     ix = index(spark, sf_dir)
-    rows = ix.chunks.select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.inline("terms"))
+    rows = ix.vectors.select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.inline("terms"))
     named = rows.join(F.broadcast(ix.vocabulary.select("term", "term_id")), "term_id")
     return named.select("doc_id", "chunk_no", "term", r6("weight"))
 

@@ -21,6 +21,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Small local tables are still worth all cores.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
@@ -65,14 +67,15 @@ def store(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_or_stored(df: DataFrame, name: str, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """The join side ``df``, evaluated once: a broadcast local table when it is small, else a stored one.
+    """The join side ``df``, evaluated for good: a broadcast local table when it is small, else a stored one.
 
-    Beyond the limit no hint is given, so Spark shuffles the join and AQE splits its skewed partitions.
+    At most ``limit`` rows and one come to the driver to find out.  Beyond the limit no hint is given, so
+    Spark shuffles the join and AQE splits its skewed partitions.
     """
-    stored = store(df, name)
-    if stored.limit(limit + 1).count() <= limit:
-        return F.broadcast(stored)
-    return stored
+    probe = df.limit(limit + 1).toArrow()
+    if probe.num_rows <= limit:
+        return F.broadcast(df.sparkSession.createDataFrame(probe, df.schema))
+    return store(df, name)
 
 
 def fan_out(table: DataFrame) -> DataFrame:

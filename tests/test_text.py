@@ -96,7 +96,7 @@ def test_queries_in_several_blocks_find_the_same(spark, documents, monkeypatch):
 
 
 def test_vocabulary_cap_keeps_frequent_terms(documents):
-    rows = r.vocabulary(x.chunk(documents), max_terms=3).orderBy("term_id").collect()
+    rows = r.vocabulary(r.counted(x.chunk(documents)), max_terms=3).orderBy("term_id").collect()
     totals = Counter(w for t in TEXTS.values() for c in windows(t, 800, 100) for w in words(c))
     expected = sorted(totals.items(), key=lambda item: (-item[1], item[0]))[:3]
     assert [(row["term"], row["tf"]) for row in rows] == expected
