@@ -17,18 +17,12 @@ BLANKS = (
 )
 
 
-def strip(column: Column) -> Column:
-    return F.trim(column, F.lit(BLANKS))
+# Windows per stretch of a long text.
+_WINDOWS = 64
 
 
-def chunk_starts(text: Column, size: int, overlap: int) -> Column:
-    """0-based start of each window; a window that would not move forward is the only one."""
-    n = F.length(text)
-    if overlap >= size:
-        starts = F.array(F.lit(0))
-    else:
-        starts = F.sequence(F.lit(0), n - 1, F.lit(size - overlap))
-    return F.when(n > 0, starts)
+def strip(column: Column) -> Column:
+    return F.trim(column, F.lit(BLANKS))
 
 
 def chunk(
@@ -36,13 +30,43 @@ def chunk(
 ) -> DataFrame:
     """One row per non-blank window of the text; ``chunk_no`` is the window's number in its document.
 
-    All other columns are kept.  The last window may lie wholly inside the one before it.
+    All other columns are kept.  The last window may lie wholly inside the one before it, and a window that
+    would not move forward is the only one.  A long text is first cut into stretches of some windows, each
+    with the overlap behind it, since finding a character takes a walk from the start of a string.
     """
     kept = [c for c in documents.columns if c != text]
-    starts = chunk_starts(F.col(text), size, overlap)
-    windows = documents.select(*kept, text, F.posexplode(starts).alias("chunk_no", "__start"))
-    piece = strip(F.substring(F.col(text), F.col("__start") + 1, F.lit(size)))
-    return windows.select(*kept, "chunk_no", piece.alias(text)).where(F.length(text) > 0)
+    whole = F.col(text)
+    if overlap >= size:
+        one = strip(F.substring(whole, 1, size))
+        rows = documents.select(*kept, F.lit(0).alias("chunk_no"), one.alias(text))
+        return rows.where(F.length(text) > 0)
+    step = size - overlap
+    windows = max(_WINDOWS, -(-size // step))
+    length = step * windows
+    cut = F.when(F.length(whole) <= length, F.array(whole)).otherwise(
+        F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{length}}}"), F.lit(0))
+    )
+
+    def with_overlap(pieces: Column) -> Column:
+        return F.transform(
+            pieces,
+            lambda piece, i: F.struct(
+                F.concat(piece, F.coalesce(F.substring(F.get(pieces, i + 1), 1, overlap), F.lit(""))).alias("body"),
+                F.length(piece).alias("own"),
+            ),
+        )
+
+    # A one-element array names the pieces, so that the text is cut once.
+    stretches = F.get(F.transform(F.array(cut), with_overlap), F.lit(0))
+    rows = documents.where(F.length(whole) > 0).select(*kept, F.posexplode(stretches).alias("__at", "__stretch"))
+    body, own = F.col("__stretch")["body"], F.col("__stretch")["own"]
+    rows = rows.select(
+        *kept, "__at", body.alias("__body"),
+        F.posexplode(F.sequence(F.lit(0), own - 1, F.lit(step))).alias("__no", "__start"),
+    )
+    window = strip(F.substring(F.col("__body"), F.col("__start") + 1, F.lit(size)))
+    number = (F.col("__at") * windows + F.col("__no")).alias("chunk_no")
+    return rows.select(*kept, number, window.alias(text)).where(F.length(text) > 0)
 
 
 def tokens(column: Column) -> Column:

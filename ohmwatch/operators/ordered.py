@@ -13,6 +13,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from ohmwatch.session import store
+
 BUCKET = "__bucket"
 CARRIED = "__carried"
 
@@ -102,9 +104,9 @@ def with_buckets(
     group = [BUCKET, *keys]
     newest_first = Window.partitionBy(*group).orderBy(*[F.col(c).desc() for c in order])
     tails = narrow.withColumn("__back", F.row_number().over(newest_first)).where(F.col("__back") <= lookback)
-    # At most lookback rows per bucket are left, so numbering them along the order is small.
+    # At most lookback rows per bucket and key are left; stored, since both join sides read them.
     along = Window.partitionBy(*keys).orderBy(BUCKET, *order) if keys else Window.orderBy(BUCKET, *order)
-    tails = tails.drop("__back").withColumn("__at", F.row_number().over(along))
+    tails = store(tails.drop("__back").withColumn("__at", F.row_number().over(along)), "tails")
     starts = tails.groupBy(*group).agg(F.min("__at").alias("__start")).withColumnRenamed(BUCKET, "__to")
     carried = (
         tails.withColumn("__start", F.explode(F.sequence(F.col("__at") + 1, F.col("__at") + lookback)))

@@ -474,6 +474,8 @@ ORACLE: dict[str, str] = {
     "prompt_hash": "SELECT conv_id, turn, substr(sha256(role || text), 1, 8) AS prompt_id FROM conversations",
     "index_reload": f"""WITH {WEIGHTS}{search('SELECT item_id AS query_id, text FROM benchmark')}
         SELECT query_id, rank, doc_id, chunk_no, {r6('score')} FROM ranked""",
+    "stream_zscore": f"""SELECT event_id AS record_id, event_type AS mms_service,
+        {r6('(value - avg(value) OVER ()) / (stddev_samp(value) OVER () + 1e-6)', 'packet_size_zscore')} FROM events""",
     "stream_rolling": f"""WITH {TRAFFIC}
         SELECT record_id, {r6('avg(request_rate) OVER w', 'rolling_request_rate_mean')},
                {r6('coalesce(stddev_samp(latency_ms) OVER w, 0.0)', 'rolling_latency_std')}

@@ -690,6 +690,19 @@ def stream_stateless(spark, sf_dir):
     return spark.read.parquet(out).select(KEY, r6("packet_size_zscore"), r6("if_raw"), "if_is_anomaly")
 
 
+@query
+def stream_zscore(spark, sf_dir):
+    records, out = traffic(spark, sf_dir), scratch_path(spark, "stream-zscore")
+    moments = features.fit_moments(records, "packet_size")
+
+    def writer(source):
+        rows = features.add_zscore(source, "packet_size", "packet_size_zscore", moments)
+        return rows.writeStream.format("parquet").option("path", out)
+
+    feed(records, 2, writer, "zscore")
+    return spark.read.parquet(out).select(KEY, "mms_service", r6("packet_size_zscore"))
+
+
 @query
 def stream_rolling(spark, sf_dir):
     records = traffic(spark, sf_dir)

@@ -20,6 +20,7 @@ TEXTS = {
     5: "ab " * 267,
     6: "The relay trips; the breaker OPENS. Über_2 relay a b cc",
     7: "replay of the relay messages 42 times",
+    8: "".join(f"wörd{i % 50} 😀\n" for i in range(9000)),
 }
 
 
