@@ -43,9 +43,6 @@ def chunk(
     step = size - overlap
     windows = max(_WINDOWS, -(-size // step))
     length = step * windows
-    cut = F.when(F.length(whole) <= length, F.array(whole)).otherwise(
-        F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{length}}}"), F.lit(0))
-    )
 
     def with_overlap(pieces: Column) -> Column:
         return F.transform(
@@ -57,7 +54,10 @@ def chunk(
         )
 
     # A one-element array names the pieces, so that the text is cut once.
-    stretches = F.get(F.transform(F.array(cut), with_overlap), F.lit(0))
+    cut = F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{length}}}"), F.lit(0))
+    long = F.get(F.transform(F.array(cut), with_overlap), F.lit(0))
+    short = F.array(F.struct(whole.alias("body"), F.length(whole).alias("own")))
+    stretches = F.when(F.length(whole) <= length, short).otherwise(long)
     rows = documents.where(F.length(whole) > 0).select(*kept, F.posexplode(stretches).alias("__at", "__stretch"))
     body, own = F.col("__stretch")["body"], F.col("__stretch")["own"]
     rows = rows.select(
