@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ohmwatch.llm.common import arrow_parts, store, table, word_runs
 from ohmwatch.llm.components import roots
+from ohmwatch.llm.exact import drop_duplicates
 
 SEED = 42
 #: Shingles that are hashed and summed together.
@@ -43,17 +44,27 @@ def _bits(values: np.ndarray) -> np.ndarray:
     return np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
 
-def texts_bits(texts: list[str | None], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each text, how many of its shingle hashes have each bit set, and how many shingles it has."""
-    ones, total = np.zeros((len(texts), 64), np.int64), np.zeros(len(texts), np.int64)
+def _more(values: np.ndarray, number: int) -> np.ndarray:
+    """Further hashes of what ``values`` are hashes of; number 0 gives ``values``."""
+    if number:
+        values = (values ^ np.uint64(0x9E3779B97F4A7C15 * number % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+        values = (values ^ (values >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        values ^= values >> np.uint64(32)
+    return values
+
+
+def texts_bits(texts: list[str | None], size: int, wide: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """For each text, how many of its shingle hashes (``wide`` times 64 bits) have each bit set, and how many shingles it has."""
+    ones, total = np.zeros((len(texts), 64 * wide), np.int64), np.zeros(len(texts), np.int64)
     found: list[bytes] = []
     owners: list[int] = []
     counts: list[int] = []
 
     def add() -> None:
         if found:
-            sums = np.add.reduceat(_bits(hashes(found)), np.cumsum([0, *counts[:-1]]), axis=0, dtype=np.int32)
-            np.add.at(ones, owners, sums)
+            first, starts = hashes(found), np.cumsum([0, *counts[:-1]])
+            for k in range(wide):
+                np.add.at(ones[:, 64 * k : 64 * k + 64], owners, np.add.reduceat(_bits(_more(first, k)), starts, axis=0, dtype=np.int32))
             np.add.at(total, owners, counts)
             found.clear(), owners.clear(), counts.clear()
 
@@ -133,5 +144,90 @@ def near_components(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Dat
     )
 
 
+#: Near duplicates by similarity: words of 64 bits in a fingerprint, shingle sizes for candidates and for the distance.
+WIDE, CANDIDATE_SHINGLE, SHINGLE = 4, 2, 5
+
+
+def bits_for(similarity: float, total: int = 64 * WIDE) -> int:
+    """Differing bits of ``total`` that texts of this resemblance are within five times out of six.
+
+    Resemblance j of two shingle sets is a cosine of 2j / (1 + j), and a bit differs in proportion to the angle.
+    """
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(round(share * total + np.sqrt(total * share * (1 - share))))
+
+
+def wide_fingerprints(docs: DataFrame) -> DataFrame:
+    """key, doc_id, near, full: fingerprints of 256 bits over two-word and five-word shingles; key is a hash of id and text."""
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in arrow_parts(batches):
+            columns = [part.column("key"), part.column("doc_id")]
+            for size in (CANDIDATE_SHINGLE, SHINGLE):
+                ones, total = texts_bits(part.column("text").to_pylist(), size, WIDE)
+                fp = np.packbits(2 * ones > total[:, None], axis=1, bitorder="little").view("<i8")
+                columns.append(pa.ListArray.from_arrays(pa.array(np.arange(0, fp.size + 1, WIDE), pa.int32()), pa.array(fp.ravel())))
+            yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "near", "full"])
+
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long"), "text")
+    return rows.mapInArrow(scan, "key long, doc_id long, near array<long>, full array<long>")
+
+
+def _distance(a: str, b: str) -> Column:
+    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(1, WIDE)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
+
+
+def similar_links(prints: DataFrame, similarity: float, width: int) -> DataFrame:
+    """a, b: keys whose five-word fingerprints are near enough for the similarity.
+
+    Segments of ``width`` bits of the two-word fingerprint are tables.  Every document stands under its value in each
+    and asks for the ball of radius one around it.  In a table cell it meets two members, those with the smallest
+    id and the smallest key, not all of them: a crowd of near copies makes a star in each cell that it fills, not
+    all its pairs, and the rows stay in proportion to the documents.  Different segments have different cells, so a
+    document meets many members of its group.
+    """
+    segments = 64 * WIDE // width
+    values = []
+    for s in range(segments):
+        word, offset = divmod(s * width, 64)
+        low = F.shiftrightunsigned(F.col("near")[word], offset)
+        if offset + width > 64:
+            low = low.bitwiseOR(F.shiftleft(F.col("near")[word + 1], 64 - offset))
+        values.append(low.bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(s << 56)))
+    first = F.col("near")[0].alias("first")
+    member = F.struct("key", "first")
+    placed = prints.select("doc_id", "key", first, F.explode(F.array(*values)).alias("cell"))
+    cells = placed.groupBy("cell").agg(F.min_by(member, F.struct("doc_id", "key")).alias("one"), F.min(member).alias("two"))
+    ball = F.array(*[F.lit(m) for m in (0, *[1 << i for i in range(width)])]).cast("array<long>")
+    asked = placed.select("key", "first", F.col("cell"), F.explode(ball).alias("flip")).select("key", "first", F.col("cell").bitwiseXOR(F.col("flip")).alias("asked"))
+    met = asked.join(cells, asked["asked"] == cells["cell"])
+    close = lambda m: (F.col(f"{m}.key") != F.col("key")) & (F.bit_count(F.col(f"{m}.first").bitwiseXOR(F.col("first"))) <= 24)
+    met = met.filter(close("one") | close("two"))
+    pairs = met.select(F.col("key").alias("a"), F.explode(F.array(*[F.when(close(m), F.col(f"{m}.key")) for m in ("one", "two")])).alias("b")).filter("b IS NOT NULL")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda k: prints.select(F.col("key").alias(k), F.col("full").alias(f"full_{k}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(_distance("full_a", "full_b") <= bits_for(similarity)).select("a", "b")
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """One document of each group of near duplicates, all columns as they were: the one with the smallest id.
+
+    Texts are near duplicates when the fingerprints of their five-word shingles say that the resemblance is about
+    ``similarity`` or more; groups are linked by such pairs.  Null and blank texts are one group.  Repeated rows
+    fall to one first.  An empty table stays empty.
+    """
+    prints = store(wide_fingerprints(docs), "wide")
+    if not prints.groupBy("key").count().filter("count > 1").isEmpty():
+        docs = drop_duplicates(docs)
+        prints = store(wide_fingerprints(docs), "wide")
+    # Wide enough that unrelated documents seldom meet in a cell, whatever their number.
+    width = max(20, int(np.ceil(np.log2(max(2, prints.count())))) + 6)
+    found = roots(similar_links(prints, similarity, min(width, 48)))
+    grouped = prints.select("key", "doc_id").join(found, F.col("key") == F.col("node"))
+    kept = grouped.groupBy("root").agg(F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("_kept"))
+    gone = grouped.join(kept, "root").filter(F.col("key") != F.col("_kept")).select(F.col("key").alias("_gone"))
+    return docs.join(gone, F.xxhash64(docs["doc_id"], docs["text"]) == F.col("_gone"), "left_anti")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"))
