@@ -83,12 +83,14 @@ def drop_duplicates(docs: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     side = groups.select(F.struct("text_sha256", "proof").alias("_group_of_copies"), F.col("keep_id").alias("_kept_copy"))
     text = normalised(docs["text"])
     digest = F.struct(F.sha2(text, 256).alias("text_sha256"), F.struct(F.octet_length(text).alias("bytes"), F.xxhash64(text).alias("hash")).alias("proof"))
-    joined = docs.join(side, digest == side["_group_of_copies"], "left")
-    single, kept = F.col("_group_of_copies").isNull(), docs["doc_id"].eqNullSafe(F.col("_kept_copy"))
+    # The digest is a column before the join, so sorting compares values; the number of groups has no bound, so they are not broadcast.
+    marked = docs.withColumn("_own_digest", digest)
+    joined = marked.join(side.hint("merge"), F.col("_own_digest") == F.col("_group_of_copies"), "left")
+    single, kept = F.col("_group_of_copies").isNull(), F.col("doc_id").eqNullSafe(F.col("_kept_copy"))
     if not repeated:
-        return joined.filter(single | kept).select(*[docs[c] for c in docs.columns])
-    one = joined.filter(~single & kept).groupBy("_group_of_copies").agg(F.first(F.struct(*[docs[c] for c in docs.columns])).alias("_row"))
-    return joined.filter(single).select(*[docs[c] for c in docs.columns]).unionByName(one.select("_row.*"))
+        return joined.filter(single | kept).select(*[marked[c] for c in docs.columns])
+    one = joined.filter(~single & kept).groupBy("_group_of_copies").agg(F.first(F.struct(*[marked[c] for c in docs.columns])).alias("_row"))
+    return joined.filter(single).select(*[marked[c] for c in docs.columns]).unionByName(one.select("_row.*"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

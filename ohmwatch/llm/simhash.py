@@ -146,6 +146,7 @@ def near_components(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Dat
 
 #: Near duplicates by similarity: words of 64 bits in a fingerprint, shingle sizes for candidates and for the distance.
 WIDE, CANDIDATE_SHINGLE, SHINGLE = 4, 2, 5
+SEGMENTS = 8
 
 
 def bits_for(similarity: float, total: int = 64 * WIDE) -> int:
@@ -182,28 +183,32 @@ def similar_links(prints: DataFrame, similarity: float, width: int) -> DataFrame
 
     Segments of ``width`` bits of the two-word fingerprint are tables.  Every document stands under its value in each
     and asks for the ball of radius one around it.  In a table cell it meets two members, those with the smallest
-    id and the smallest key, not all of them: a crowd of near copies makes a star in each cell that it fills, not
-    all its pairs, and the rows stay in proportion to the documents.  Different segments have different cells, so a
-    document meets many members of its group.
+    id and the smallest key, and of all it meets in one table it keeps the nearest and the smallest key: a crowd of
+    near copies makes stars, not all its pairs, and rows stay in proportion to the documents.  Different segments
+    have different cells, so a document meets many members of its group.
     """
-    segments = 64 * WIDE // width
     values = []
-    for s in range(segments):
+    for s in range(min(SEGMENTS, 64 * WIDE // width)):
         word, offset = divmod(s * width, 64)
         low = F.shiftrightunsigned(F.col("near")[word], offset)
         if offset + width > 64:
             low = low.bitwiseOR(F.shiftleft(F.col("near")[word + 1], 64 - offset))
         values.append(low.bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(s << 56)))
-    first = F.col("near")[0].alias("first")
-    member = F.struct("key", "first")
-    placed = prints.select("doc_id", "key", first, F.explode(F.array(*values)).alias("cell"))
+    # 32 bits beyond the segments travel along, to turn away strangers that share a cell.
+    peek = F.shiftright(F.col("near")[WIDE - 1], 32).cast("int").alias("peek")
+    member = F.struct("key", "peek")
+    placed = prints.select("doc_id", "key", peek, F.explode(F.array(*values)).alias("cell"))
     cells = placed.groupBy("cell").agg(F.min_by(member, F.struct("doc_id", "key")).alias("one"), F.min(member).alias("two"))
     ball = F.array(*[F.lit(m) for m in (0, *[1 << i for i in range(width)])]).cast("array<long>")
-    asked = placed.select("key", "first", F.col("cell"), F.explode(ball).alias("flip")).select("key", "first", F.col("cell").bitwiseXOR(F.col("flip")).alias("asked"))
+    asked = placed.select("key", "peek", "cell", F.explode(ball).alias("flip")).select("key", "peek", F.col("cell").bitwiseXOR(F.col("flip")).alias("asked"))
     met = asked.join(cells, asked["asked"] == cells["cell"])
-    close = lambda m: (F.col(f"{m}.key") != F.col("key")) & (F.bit_count(F.col(f"{m}.first").bitwiseXOR(F.col("first"))) <= 24)
+    off = lambda m: F.bit_count(F.col(f"{m}.peek").bitwiseXOR(F.col("peek")))
+    close = lambda m: (F.col(f"{m}.key") != F.col("key")) & (off(m) <= 10)
     met = met.filter(close("one") | close("two"))
-    pairs = met.select(F.col("key").alias("a"), F.explode(F.array(*[F.when(close(m), F.col(f"{m}.key")) for m in ("one", "two")])).alias("b")).filter("b IS NOT NULL")
+    offers = F.array(*[F.when(close(m), F.struct(off(m).alias("off"), F.col(f"{m}.key").alias("key"))) for m in ("one", "two")])
+    met = met.select(F.col("key").alias("a"), F.shiftright("asked", 56).alias("segment"), F.explode(offers).alias("offer")).filter("offer IS NOT NULL")
+    best = met.groupBy("a", "segment").agg(F.min("offer").alias("nearest"), F.min("offer.key").alias("smallest"))
+    pairs = best.select("a", F.explode(F.array("nearest.key", "smallest")).alias("b"))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     side = lambda k: prints.select(F.col("key").alias(k), F.col("full").alias(f"full_{k}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").filter(_distance("full_a", "full_b") <= bits_for(similarity)).select("a", "b")
@@ -221,12 +226,12 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
         docs = drop_duplicates(docs)
         prints = store(wide_fingerprints(docs), "wide")
     # Wide enough that unrelated documents seldom meet in a cell, whatever their number.
-    width = max(20, int(np.ceil(np.log2(max(2, prints.count())))) + 6)
-    found = roots(similar_links(prints, similarity, min(width, 48)))
+    width = min(28, max(20, int(np.ceil(np.log2(max(2, prints.count())))) + 6))
+    found = roots(similar_links(prints, similarity, width))
     grouped = prints.select("key", "doc_id").join(found, F.col("key") == F.col("node"))
     kept = grouped.groupBy("root").agg(F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("_kept"))
     gone = grouped.join(kept, "root").filter(F.col("key") != F.col("_kept")).select(F.col("key").alias("_gone"))
-    return docs.join(gone, F.xxhash64(docs["doc_id"], docs["text"]) == F.col("_gone"), "left_anti")
+    return docs.withColumn("_own_key", F.xxhash64(docs["doc_id"], docs["text"])).join(gone, F.col("_own_key") == F.col("_gone"), "left_anti").drop("_own_key")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
