@@ -78,9 +78,10 @@ def running_offset(rows: DataFrame, keys: list[str], bucket: str, order: list[Co
 __all__ = ["SPACE", "SPACES", "WORD", "arrow_parts", "remainder", "running_offset", "slices", "store", "table", "word_runs", "words_of"]
 
 
-def word_runs(text: str | None, size: int = 1 << 20) -> Iterator[list[bytes]]:
-    """The lower-cased words of a text in lists made from about ``size`` bytes each; most texts are one list."""
-    data = text.encode("utf-8", "surrogatepass").lower() if text else b""
+def word_runs(text: str | None, size: int = 1 << 20, lower: bool = True) -> Iterator[list[bytes]]:
+    """The words of a text, A-Z lower-cased if so asked, in lists made from about ``size`` bytes each; most texts are one list."""
+    data = text.encode("utf-8", "surrogatepass") if text else b""
+    data = data.lower() if lower else data
     start = 0
     while start < len(data):
         end = start + size
