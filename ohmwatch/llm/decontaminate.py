@@ -165,7 +165,7 @@ def search(words: list[list[bytes]], index: Index) -> list[tuple[int, int, float
     bound = np.bincount(half[rare][of] * index.n_blocks + index.blocks[at], index.bounds[at], n_halves * index.n_blocks).reshape(n_halves, -1)
     last = np.zeros(n_halves, bool)
     last[(first + halves - 1)[halves > 0]] = True
-    both = bound.copy()
+    both = bound.astype(float)
     both[:-1][~last[:-1]] += bound[1:][~last[:-1]]
     both += index.rest
     found: dict[tuple[int, int], tuple[float, int]] = {}

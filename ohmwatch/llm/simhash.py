@@ -100,12 +100,12 @@ def _segment(fp: Column, number: int, segments: int) -> tuple[Column, int]:
 def links_within(prints: DataFrame, max_bits: int) -> DataFrame:
     """a, b: pairs of distinct fingerprints (column fp, no repeats) that differ in at most ``max_bits`` bits.
 
-    With ``max_bits // 2 + 1`` segments, a linked pair differs in one bit at most in some segment.  Each fingerprint
+    With ``max_bits // 2 + 1`` segments, two at least, a linked pair differs in one bit at most in some segment.  Each fingerprint
     stands in the table of every segment under its exact value and asks for the ball of radius one.  Of two values
     that differ in one bit, just one has a zero there, so only zeros are flipped; equal values ask once as well.
     A pair may come from several segments.
     """
-    segments = max_bits // 2 + 1
+    segments = max(2, max_bits // 2 + 1)
     rows, asks = [], []
     for s in range(segments):
         value, width = _segment(F.col("fp"), s, segments)
