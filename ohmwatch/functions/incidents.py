@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, functions as F, types as T
 
 from ohmwatch import fixed_values as V
+from ohmwatch.functions.text import strip
 
 
 def texts(values: Sequence[str]) -> Column:
@@ -53,7 +54,7 @@ def detection_finding(event: Column, reply: Column | None = None) -> Column:
     summary = detection_summary(event)
     if reply is not None:
         parsed = parse_reply(reply, T.StructType([T.StructField("summary", T.StringType())]))
-        summary = F.coalesce(parsed["summary"], F.trim(reply))
+        summary = F.coalesce(parsed["summary"], strip(reply))
     return F.struct(summary.alias("summary"), event["ensemble_score"].alias("confidence"))
 
 
@@ -174,7 +175,7 @@ def query_text(service: Column, hint: Column | None = None) -> Column:
     """Retrieval query of an event: its non-empty parts joined by blanks."""
     blank = F.lit("")
     parts = [F.nullif(part, blank) for part in ([hint] if hint is not None else []) + [service]]
-    return F.trim(F.concat_ws(" ", *parts, F.lit(V.KNOWLEDGE_QUERY)))
+    return strip(F.concat_ws(" ", *parts, F.lit(V.KNOWLEDGE_QUERY)))
 
 
 def parse_reply(reply: Column, schema: T.StructType) -> Column:
@@ -183,7 +184,7 @@ def parse_reply(reply: Column, schema: T.StructType) -> Column:
     A parser alone stops after the first value and would accept text behind it; inside an array it cannot.
     """
     wrapped = F.concat(F.lit("["), reply, F.lit("]"))
-    values = F.from_json(wrapped, T.ArrayType(schema), {"mode": "PERMISSIVE"})
+    values = F.from_json(wrapped, T.ArrayType(schema), {"mode": "PERMISSIVE", "allowSingleQuotes": "false"})
     return F.when(F.size(values) == 1, F.get(values, F.lit(0)))
 
 

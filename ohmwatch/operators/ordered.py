@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -99,7 +100,8 @@ def with_buckets(
         schema = T.StructType([T.StructField(k, df.schema[k].dataType) for k in keys])
         cut_keys = {tuple(point[f"o{i}"] for i in range(len(keys))) for point in buckets.points}
         spanning = df.sparkSession.createDataFrame([*cut_keys], schema)
-        narrow = narrow.join(F.broadcast(spanning), [*keys], "left_semi")
+        same = [narrow[k].eqNullSafe(spanning[k]) for k in keys]  # a null key is a key
+        narrow = narrow.join(F.broadcast(spanning), reduce(Column.__and__, same), "left_semi")
 
     group = [BUCKET, *keys]
     newest_first = Window.partitionBy(*group).orderBy(*[F.col(c).desc() for c in order])
@@ -107,12 +109,14 @@ def with_buckets(
     # At most lookback rows per bucket and key are left; stored, since both join sides read them.
     along = Window.partitionBy(*keys).orderBy(BUCKET, *order) if keys else Window.orderBy(BUCKET, *order)
     tails = store(tails.drop("__back").withColumn("__at", F.row_number().over(along)), "tails")
-    starts = tails.groupBy(*group).agg(F.min("__at").alias("__start")).withColumnRenamed(BUCKET, "__to")
+    named = [F.col(k).alias(f"__key_{k}") for k in keys]
+    starts = tails.groupBy(*group).agg(F.min("__at").alias("__first")).select(*named, F.col(BUCKET).alias("__to"), "__first")
+    met = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys], F.col("__start") == F.col("__first"))
     carried = (
         tails.withColumn("__start", F.explode(F.sequence(F.col("__at") + 1, F.col("__at") + lookback)))
-        .join(starts, [*keys, "__start"])
+        .join(starts, met)
         .withColumn(BUCKET, F.col("__to"))
-        .drop("__at", "__start", "__to")
+        .drop("__at", "__start", "__first", "__to", *[f"__key_{k}" for k in keys])
         .withColumn(CARRIED, F.lit(True))
     )
     return placed.unionByName(carried, allowMissingColumns=True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 # Up to here the built-in, which keeps every distinct value in one buffer, is cheap.
 BUILTIN_ROWS = 1_000_000
@@ -25,16 +25,31 @@ def exact_quantile(
     """
     w = F.col(weight) if weight else F.lit(1)
     rows = df.select(F.col(column).cast("double").alias("v"), w.cast("long").alias("w")).where("v is not null and w > 0")
-    total, lo, hi, stored = rows.agg(F.sum("w"), F.min("v"), F.max("v"), F.count(F.lit(1))).first()
+    total, stored = rows.agg(F.sum("w"), F.count(F.lit(1))).first()
     if not total:
         return None
     if stored <= builtin_rows:
         return rows.agg(F.percentile("v", q, F.col("w"))).first()[0]
     at = q * (total - 1)
     below, above = math.floor(at), math.ceil(at)
-    low_value = _value_at(rows, below, lo, hi)
-    high_value = low_value if above == below else _value_at(rows, above, lo, hi)
-    return low_value + (high_value - low_value) * (at - below)
+    low_value = _ranked(rows, below)
+    high_value = low_value if above == below else _ranked(rows, above)
+    return low_value if low_value == high_value else low_value + (high_value - low_value) * (at - below)
+
+
+def _ranked(rows: DataFrame, rank: int) -> float:
+    """The value at a 0-based rank in Spark's order: minus infinity, numbers, infinity, NaN.  Only numbers are narrowed."""
+    v, number = F.col("v"), ~F.isnan("v") & (F.abs("v") < math.inf)
+    n_low, n_finite, n_high, lo, hi = rows.agg(
+        F.sum(F.when(v == -math.inf, F.col("w"))), F.sum(F.when(number, F.col("w"))), F.sum(F.when(v == math.inf, F.col("w"))),
+        F.min(F.when(number, v)), F.max(F.when(number, v)),
+    ).first()
+    rank -= n_low or 0
+    if rank < 0:
+        return -math.inf
+    if rank < (n_finite or 0):
+        return _value_at(rows.where(number), rank, lo, hi)
+    return math.inf if rank < (n_finite or 0) + (n_high or 0) else math.nan
 
 
 def _value_at(rows: DataFrame, rank: int, lo: float, hi: float) -> float:
@@ -45,9 +60,11 @@ def _value_at(rows: DataFrame, rank: int, lo: float, hi: float) -> float:
     skipped = 0
     while lo < hi:
         inside = rows.where(F.col("v").between(lo, hi))
-        width = (hi - lo) / _BINS
+        # Halves, because the range itself may overflow.  A range too small to cut is taken value by value.
+        width = (hi / 2 - lo / 2) / _BINS
+        bin_of = F.floor((F.col("v") / 2 - lo / 2) / width) if width > 1e-300 else F.col("v")
         bins = (
-            inside.groupBy(F.floor((F.col("v") - lo) / width).alias("bin"))
+            inside.groupBy(bin_of.alias("bin"))
             .agg(F.sum("w").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
             .orderBy("lo")
             .collect()
@@ -58,13 +75,3 @@ def _value_at(rows: DataFrame, rank: int, lo: float, hi: float) -> float:
             skipped += row["n"]
         lo, hi = row["lo"], row["hi"]
     return lo
-
-
-def quantile_column(column: str, q: float) -> Column:
-    """Interpolated quantile as an aggregate, for groups known to be small."""
-    return F.percentile(column, q)
-
-
-def approximate_quantile(column: str, q: float, accuracy: int = 10_000) -> Column:
-    """Sketched quantile as an aggregate; rank error is at most 1/accuracy."""
-    return F.percentile_approx(column, q, accuracy)

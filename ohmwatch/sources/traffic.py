@@ -106,13 +106,14 @@ def ingest_events(events: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFram
     same = F.size(F.filter("__recent", lambda p: p == F.col("__props")))
     recent = F.size("__recent")
 
-    service = events.groupBy(F.col("event_type").alias("mms_service")).agg(
+    service = events.groupBy(F.col("event_type").alias("__service")).agg(
         F.avg("value").alias("__mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("__std")
     )
-    faulty = F.col("mms_service") == "error"
+    moments = small_or_stored(service, "service-moments")
+    faulty = F.coalesce(F.col("mms_service") == "error", F.lit(False))
     return (
         placed.withColumn("duplicate_ratio", F.when(recent > 0, same / recent).otherwise(F.lit(0.0)))
-        .join(small_or_stored(service, "service-moments"), "mms_service", "left")
+        .join(moments, F.col("mms_service").eqNullSafe(F.col("__service")), "left")
         .withColumn("value_deviation", (F.col("packet_size") - F.col("__mean")) / (F.col("__std") + 1e-6))
         .withColumn("label", F.when(faulty, "Attack").otherwise("Normal"))
         .withColumn("attack_type", F.when(faulty, "Fault").otherwise("None"))
