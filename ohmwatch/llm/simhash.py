@@ -205,9 +205,11 @@ def similar_links(prints: DataFrame, similarity: float, width: int) -> DataFrame
     off = lambda m: F.bit_count(F.col(f"{m}.peek").bitwiseXOR(F.col("peek")))
     close = lambda m: (F.col(f"{m}.key") != F.col("key")) & (off(m) <= 10)
     met = met.filter(close("one") | close("two"))
-    offers = F.array(*[F.when(close(m), F.struct(off(m).alias("off"), F.col(f"{m}.key").alias("key"))) for m in ("one", "two")])
-    met = met.select(F.col("key").alias("a"), F.shiftright("asked", 56).alias("segment"), F.explode(offers).alias("offer")).filter("offer IS NOT NULL")
-    best = met.groupBy("a", "segment").agg(F.min("offer").alias("nearest"), F.min("offer.key").alias("smallest"))
+    offer = lambda m: F.min(F.when(close(m), F.struct(off(m).alias("off"), F.col(f"{m}.key").alias("key"))))
+    least = lambda m: F.min(F.when(close(m), F.col(f"{m}.key")))
+    best = met.groupBy(F.col("key").alias("a"), F.shiftright("asked", 56).alias("segment")).agg(
+        F.least(offer("one"), offer("two")).alias("nearest"), F.least(least("one"), least("two")).alias("smallest")
+    )
     pairs = best.select("a", F.explode(F.array("nearest.key", "smallest")).alias("b"))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     side = lambda k: prints.select(F.col("key").alias(k), F.col("full").alias(f"full_{k}"))
