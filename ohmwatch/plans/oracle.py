@@ -278,6 +278,21 @@ replies AS (
 parsed AS (
   SELECT conv_id, turn, CASE WHEN json_valid(reply) THEN CAST(reply AS JSON) END AS j FROM replies)"""
 
+
+
+def spelled(*parts: str) -> str:
+    """A text with the turn and the role put between its parts, in that order."""
+    values = ["turn", "coalesce(role, 'none')"]
+    return " || ".join([lit(parts[0]), *[f"{v} || {lit(p)}" for v, p in zip(values, parts[1:])]])
+
+
+def stored_replies(first: str, second: str, third: str, last: str) -> str:
+    return f"""replies AS (
+  SELECT conv_id, turn, CASE (conv_id + turn) % 4 WHEN 0 THEN {first} WHEN 1 THEN {second} WHEN 2 THEN {third} ELSE {last} END AS reply
+  FROM conversations),
+parsed AS (SELECT *, CASE WHEN json_valid(reply) THEN CAST(reply AS JSON) END AS j FROM replies)"""
+
+
 TRAFFIC_COLUMNS = f"record_id, ts_us, {r6_all(RAW_NUMERIC)}, {', '.join(CATEGORICAL)}"
 
 
@@ -387,6 +402,8 @@ ORACLE: dict[str, str] = {
             (if_is_anomaly AND lof_is_anomaly) OR scored.ensemble_score >= 0.6 AS is_anomaly FROM scored"""
     ),
     "text_source": "SELECT doc_id, source, length(text) AS chars FROM documents",
+    "text_folder": f"""WITH documents AS (SELECT item_id AS doc_id, 'x' AS source, text FROM benchmark), {CHUNKS}
+        SELECT chunk_no, text FROM chunks""",
     "chunk_documents": f"WITH {CHUNKS} SELECT doc_id, chunk_no, source, text FROM chunks",
     "reference_lines": f"WITH {CHUNKS} SELECT doc_id, chunk_no, {REFERENCE} AS reference FROM chunks",
     "term_frequency": f"WITH {TERMS} SELECT doc_id, chunk_no, term, tf FROM tf",
@@ -460,6 +477,24 @@ ORACLE: dict[str, str] = {
                coalesce(CAST(j->>'$.confidence' AS DOUBLE), CAST({V.UNKNOWN_CONFIDENCE} AS DOUBLE)) AS confidence FROM parsed""",
     "reply_fields": f"""WITH {REPLIES} SELECT conv_id, turn, j->>'$.likely_cause' AS likely_cause,
         CAST(j->>'$.confidence' AS DOUBLE) AS confidence FROM parsed""",
+    "detection_replies": f"""WITH {stored_replies("to_json({'summary': coalesce(text, '')})::VARCHAR",
+        spelled("{'summary': 'Flagged turn ", " of ", "'}"), "chr(10) || chr(9) || ' ' || coalesce(text, '') || ' ' || chr(10)",
+        spelled('{"summary": "Flagged turn ', " of ", '"} and more'))}
+        SELECT conv_id, turn, coalesce(j->>'$.summary', trim(reply, {BLANK_SET})) AS summary, {r6('turn / 8', 'confidence')} FROM parsed""",
+    "risk_replies": f"""WITH {stored_replies(
+        spelled('{"asset_criticality": "Low", "attack_severity": "Critical", "business_risk_score": ', ', "operational_impact": "', '"}'),
+        spelled('{"asset_criticality": "", "business_risk_score": "about ', '", "attack_severity": "', '"}'), "coalesce(text, '')",
+        spelled("{'asset_criticality': '", "', 'attack_severity': '", "'}"))}
+        SELECT conv_id, turn,
+               coalesce(nullif(j->>'$.asset_criticality', ''), CASE WHEN turn % 3 = 0 THEN 'High' ELSE 'Medium' END) AS asset_criticality,
+               coalesce(j->>'$.operational_impact', 'Medium') AS operational_impact,
+               coalesce(j->>'$.attack_severity', 'Medium') AS attack_severity,
+               {r6("coalesce(TRY_CAST(j->>'$.business_risk_score' AS DOUBLE), turn / 8)", 'business_risk_score')} FROM parsed""",
+    "response_replies": f"""WITH {stored_replies(
+        spelled('{"recommended_actions": ["Check turn ', '", "Ask ', '"]}'), lit('{"recommended_actions": []}'), "coalesce(text, '')",
+        spelled('{"recommended_actions": ["Check turn ', '", "Ask ', '"]} as said'))}
+        SELECT conv_id, turn, coalesce(nullif(array_to_string(CAST(j->'$.recommended_actions' AS VARCHAR[]), ' | '), ''),
+               {lit(V.ESCALATION[0])}) AS actions FROM parsed""",
     "prompt_columns": on_flagged(
         f"""record_id, 'Anomaly event:' || chr(10) || {EVENT_JSON} || chr(10) || chr(10)
               || 'Summarize what the detector flagged in 1-2 sentences.' AS detection_prompt,

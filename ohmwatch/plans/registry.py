@@ -38,6 +38,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def one_pass_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For queries that read the records once: nothing is written, and columns nobody asks for are not computed."""
+    return traffic_source.ingest_events(table(spark, sf_dir, "events"))
+
+
 def traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store(traffic_source.ingest_events(table(spark, sf_dir, "events")), "traffic")
 
@@ -121,7 +126,7 @@ def one_hot(spark, sf_dir):
 
 @query
 def feature_meta_split(spark, sf_dir):
-    t = traffic(spark, sf_dir)
+    t = one_pass_traffic(spark, sf_dir)
     meta, candidates = features.split_meta(t)
     numeric = [c for c in features.numeric_columns(t) if c in candidates]
     return t.select(KEY, *[c for c in meta if c != TIME], *map(r6, numeric))
@@ -130,7 +135,7 @@ def feature_meta_split(spark, sf_dir):
 @query
 def align_columns(spark, sf_dir):
     wanted = ["latency_ms", "mms_service_unseen", "packet_size"]
-    return features.align(traffic(spark, sf_dir), wanted, keep=[KEY]).select(
+    return features.align(one_pass_traffic(spark, sf_dir), wanted, keep=[KEY]).select(
         KEY, r6("latency_ms"), "mms_service_unseen", r6("packet_size")
     )
 
@@ -176,7 +181,7 @@ def anti_selection(spark, sf_dir):
 
 @query
 def union_of_classes(spark, sf_dir):
-    t = traffic(spark, sf_dir).select(KEY, "attack_type", "label")
+    t = one_pass_traffic(spark, sf_dir).select(KEY, "attack_type", "label")
     return split.union_all(t.where("label = 'Normal'"), t.where("label = 'Attack'"))
 
 
@@ -203,12 +208,12 @@ def first_records(spark, sf_dir):
 
 @query
 def value_counts(spark, sf_dir):
-    return evaluate.value_counts(traffic(spark, sf_dir), "attack_type")
+    return evaluate.value_counts(one_pass_traffic(spark, sf_dir), "attack_type")
 
 
 @query
 def distinct_values(spark, sf_dir):
-    return features.categories(traffic(spark, sf_dir), ["label", "attack_type"])
+    return features.categories(one_pass_traffic(spark, sf_dir), ["label", "attack_type"])
 
 
 @query
@@ -368,6 +373,15 @@ def text_source(spark, sf_dir):
     return d.select("doc_id", "source", F.length("text").cast("long").alias("chars"))
 
 
+@query
+def text_folder(spark, sf_dir):
+    """Test items written as text files, one each, then read back and chunked."""
+    path = scratch_path(spark, "text-folder")
+    table(spark, sf_dir, "benchmark").select("item_id", "text").write.partitionBy("item_id").text(path)
+    c = X.chunk(documents_source.read_text_folder(spark, path))
+    return c.select(F.col("chunk_no").cast("long").alias("chunk_no"), "text")
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents_source.documents_from_table(table(spark, sf_dir, "documents"))
     return X.chunk(fan_out(d))
@@ -624,6 +638,75 @@ def reply_fields(spark, sf_dir):
     return replies(spark, sf_dir).select("conv_id", "turn", parsed.alias("p")).select("conv_id", "turn", "p.*")
 
 
+def reply_kind() -> Column:
+    return (F.col("conv_id") + F.col("turn")) % 4
+
+
+def by_kind(*replies: Column) -> Column:
+    """One of four replies, by conversation and turn."""
+    first, second, third, last = replies
+    kind = reply_kind()
+    return F.when(kind == 0, first).when(kind == 1, second).when(kind == 2, third).otherwise(last)
+
+
+def spelled(*parts: str) -> Column:
+    """A text with the turn and the role put between its parts, in that order."""
+    given = [F.col("turn").cast("string"), F.coalesce("role", F.lit("none"))]
+    pieces = [F.lit(parts[0])]
+    for value, part in zip(given, parts[1:]):
+        pieces += [value, F.lit(part)]
+    return F.concat(*pieces)
+
+
+@query
+def detection_replies(spark, sf_dir):
+    """Replies that parse, with single quotes, with white space around plain text, and with text behind the JSON."""
+    reply = by_kind(
+        F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("summary"))),
+        spelled("{'summary': 'Flagged turn ", " of ", "'}"),
+        F.concat(F.lit("\n\t "), F.coalesce("text", F.lit("")), F.lit(" \n")),
+        spelled('{"summary": "Flagged turn ', " of ", '"} and more'),
+    )
+    event = F.struct(
+        *[F.lit("x").alias(c) for c in ("timestamp", "src_asset", "dst_asset", "mms_service")],
+        *[F.lit(True).alias(c) for c in ("if_is_anomaly", "lof_is_anomaly")],
+        (F.col("turn") / 8).alias("ensemble_score"),
+    )
+    c = table(spark, sf_dir, "conversations").withColumn("finding", I.detection_finding(event, reply))
+    return c.select("conv_id", "turn", "finding.summary", r6("finding.confidence", "confidence"))
+
+
+@query
+def risk_replies(spark, sf_dir):
+    """Whole replies, partial ones with an empty level, plain text, and single quotes."""
+    reply = by_kind(
+        spelled('{"asset_criticality": "Low", "attack_severity": "Critical", "business_risk_score": ', ', "operational_impact": "', '"}'),
+        spelled('{"asset_criticality": "", "business_risk_score": "about ', '", "attack_severity": "', '"}'),
+        F.coalesce("text", F.lit("")),
+        spelled("{'asset_criticality': '", "', 'attack_severity': '", "'}"),
+    )
+    target = F.when(F.col("turn") % 3 == 0, F.lit("IED-Breaker-A")).otherwise(F.lit("RTU-1"))
+    risk = I.risk(target, (F.col("turn") / 8).cast("double"), reply=reply)
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", risk.alias("risk"))
+    return c.select(
+        "conv_id", "turn", "risk.asset_criticality", "risk.operational_impact", "risk.attack_severity",
+        r6("risk.business_risk_score", "business_risk_score"),
+    )
+
+
+@query
+def response_replies(spark, sf_dir):
+    """Replies with actions, with an empty list, plain text, and text behind the JSON."""
+    reply = by_kind(
+        spelled('{"recommended_actions": ["Check turn ', '", "Ask ', '"]}'),
+        F.lit('{"recommended_actions": []}'),
+        F.coalesce("text", F.lit("")),
+        spelled('{"recommended_actions": ["Check turn ', '", "Ask ', '"]} as said'),
+    )
+    actions = I.actions_from_reply(reply)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(actions, " | ").alias("actions"))
+
+
 @query
 def prompt_columns(spark, sf_dir):
     f = incidents.findings(flagged_events(spark, sf_dir), "canned")

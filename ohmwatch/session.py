@@ -67,15 +67,12 @@ def store(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_or_stored(df: DataFrame, name: str, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """The join side ``df``, evaluated for good: a broadcast local table when it is small, else a stored one.
+    """The join side ``df``, computed once into a stored table; with at most ``limit`` rows it is broadcast.
 
-    At most ``limit`` rows and one come to the driver to find out.  Beyond the limit no hint is given, so
-    Spark shuffles the join and AQE splits its skewed partitions.
+    Beyond the limit no hint is given, so Spark shuffles the join and AQE splits its skewed partitions.
     """
-    probe = df.limit(limit + 1).toArrow()
-    if probe.num_rows <= limit:
-        return F.broadcast(df.sparkSession.createDataFrame(probe, df.schema))
-    return store(df, name)
+    kept = store(df, name)
+    return F.broadcast(kept) if kept.count() <= limit else kept
 
 
 def fan_out(table: DataFrame) -> DataFrame:

@@ -9,11 +9,12 @@ from check import compare, connect
 
 from conftest import SF
 
-# The others take part in the full check; these reach every operator once.
+# The others take part in the full check, which is check.py.
 SELECTED = [
     "traffic_ingest", "rolling_features", "feature_matrix", "one_hot", "minmax_scale", "train_test_split", "anomaly_rates",
-    "confusion_metrics", "top_anomalies", "lof_embeddings", "knn_join", "ensemble_verdict", "chunk_documents",
-    "tfidf_weights", "retrieve_topk", "incident_report", "alert_selection", "reply_parse", "prompt_columns",
+    "confusion_metrics", "top_anomalies", "lof_embeddings", "knn_join", "ensemble_verdict", "text_folder", "chunk_documents",
+    "tfidf_weights", "retrieve_topk", "incident_report", "alert_selection", "reply_parse", "detection_replies", "risk_replies",
+    "response_replies", "prompt_columns",
 ]
 
 

@@ -88,12 +88,12 @@ def test_search_equals_brute_force(spark, documents):
         r.search(None, queries)
 
 
-def test_queries_in_several_blocks_find_the_same(spark, documents, monkeypatch):
+def test_blocks_and_shards_find_the_same(spark, documents):
     index = r.index_documents(documents)
     queries = spark.createDataFrame([(i, t) for i, t in enumerate(["relay", "breaker", "times", "service"])], "query_id long, text string")
     whole = r.search(index, queries).collect()
-    monkeypatch.setattr(r, "QUERY_BLOCK", 1)
-    assert sorted(r.search(index, queries).collect()) == sorted(whole)
+    assert sorted(r.search(index, queries, query_block=1, shard_rows=2).collect()) == sorted(whole)
+    assert r.search(index, queries.limit(0)).count() == 0
 
 
 def test_vocabulary_cap_keeps_frequent_terms(documents):
