@@ -146,7 +146,20 @@ def near_components(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Dat
 
 #: Near duplicates by similarity: words of 64 bits in a fingerprint, shingle sizes for candidates and for the distance.
 WIDE, CANDIDATE_SHINGLE, SHINGLE = 4, 2, 5
-SEGMENTS = 8
+#: Bits of a segment, whatever the number of documents.  Each permutation of the bits is cut into segments, each a table.
+WIDTH, PERMUTATIONS = 16, 1
+SEGMENTS = 64 * WIDE // WIDTH
+#: Members of a table cell, or of a block of a fuller cell, that are compared in one go.
+CELL = 1024
+
+
+def _orders() -> np.ndarray:
+    """The permutations of the bits, one after the other; the first leaves them in order."""
+    bits = range(64 * WIDE)
+    return np.array([sorted(bits, key=lambda i: (xxhash.xxh64_intdigest(f"{p} {i}", SEED), i) if p else i) for p in range(PERMUTATIONS)]).ravel()
+
+
+ORDERS = _orders()
 
 
 def bits_for(similarity: float, total: int = 64 * WIDE) -> int:
@@ -158,62 +171,131 @@ def bits_for(similarity: float, total: int = 64 * WIDE) -> int:
     return int(round(share * total + np.sqrt(total * share * (1 - share))))
 
 
+def cells_of(bits: np.ndarray) -> np.ndarray:
+    """For each row of zeros and ones its cell in every table; cells of different tables have different numbers."""
+    values = np.packbits(bits[:, ORDERS].reshape(len(bits), -1, WIDTH), axis=2, bitorder="little").view("<u2")[..., 0]
+    return values.astype(np.int32) + (np.arange(values.shape[1], dtype=np.int32) << WIDTH)
+
+
 def wide_fingerprints(docs: DataFrame) -> DataFrame:
-    """key, doc_id, near, full: fingerprints of 256 bits over two-word and five-word shingles; key is a hash of id and text."""
+    """key, doc_id, full, cells: 256 bits over five-word shingles, and the table cells of 256 bits over two-word shingles.
+
+    key is a hash of id and text.
+    """
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in arrow_parts(batches):
-            columns = [part.column("key"), part.column("doc_id")]
-            for size in (CANDIDATE_SHINGLE, SHINGLE):
-                ones, total = texts_bits(part.column("text").to_pylist(), size, WIDE)
-                fp = np.packbits(2 * ones > total[:, None], axis=1, bitorder="little").view("<i8")
-                columns.append(pa.ListArray.from_arrays(pa.array(np.arange(0, fp.size + 1, WIDE), pa.int32()), pa.array(fp.ravel())))
-            yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "near", "full"])
+            texts, columns = part.column("text").to_pylist(), [part.column("key"), part.column("doc_id")]
+            near, full = [2 * ones > total[:, None] for ones, total in (texts_bits(texts, size, WIDE) for size in (CANDIDATE_SHINGLE, SHINGLE))]
+            for rows in (np.packbits(full, axis=1, bitorder="little").view("<i8"), cells_of(near)):
+                columns.append(pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, rows.shape[1]), pa.int32()), pa.array(rows.ravel())))
+            yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "full", "cells"])
 
     rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(scan, "key long, doc_id long, near array<long>, full array<long>")
+    return rows.mapInArrow(scan, "key long, doc_id long, full array<long>, cells array<int>")
 
 
-def _distance(a: str, b: str) -> Column:
-    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(1, WIDE)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
+def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels after the rows ``a`` and ``b`` were linked; a label is the first row of its group."""
+    a, b = label[a], label[b]
+    while len(a):
+        parent = np.arange(len(label))
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(above := parent[parent], parent):
+            parent = above
+        label, a, b = parent[label], parent[a], parent[b]
+        a, b = a[a != b], b[a != b]
+    return label
 
 
-def similar_links(prints: DataFrame, similarity: float, width: int) -> DataFrame:
-    """a, b: keys whose five-word fingerprints are near enough for the similarity.
+def links_in_cells(cell: np.ndarray, full: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows linked, each with a later row of its cell: rows of a cell stand together, ``full`` has a column per 64 bits.
 
-    Segments of ``width`` bits of the two-word fingerprint are tables.  Every document stands under its value in each
-    and asks for the ball of radius one around it.  In a table cell it meets two members, those with the smallest
-    id and the smallest key, and of all it meets in one table it keeps the nearest and the smallest key: a crowd of
-    near copies makes stars, not all its pairs, and rows stay in proportion to the documents.  Different segments
-    have different cells, so a document meets many members of its group.
+    Every two rows of a cell are compared over all bits, but for those that links already found there connect: a
+    link between them would change no group.
+    """
+    bounds = np.concatenate([[0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]])
+    end = np.repeat(bounds[1:], np.diff(bounds))
+    label = at = np.arange(len(cell))
+    columns = [np.ascontiguousarray(c) for c in full.T]
+    found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    step = 1
+    while len(at := at[at + step < end[at]]):
+        one = at[label[at] != label[at + step]]
+        two = one + step
+        differ = np.zeros(len(one), np.int16)
+        for c in columns:
+            differ += np.bitwise_count(c[one] ^ c[two])
+        one, two = one[differ <= max_bits], two[differ <= max_bits]
+        if len(one):
+            label = _merge(label, one, two)
+            found[0].append(one), found[1].append(two)
+        step += 1
+    return np.concatenate(found[0]), np.concatenate(found[1])
+
+
+def _whole_cells(batches: Iterable[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[pa.Table]:
+    """Sorted batches joined to tables of about so many rows that cut no part."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            joined = pa.Table.from_batches(held)
+            part = joined.column("part").to_numpy()
+            cut = int(np.flatnonzero(part != part[-1])[-1]) + 1 if part[0] != part[-1] else 0
+            if cut:
+                yield joined.slice(0, cut)
+            held = joined.slice(cut).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def similar_links(prints: DataFrame, similarity: float, most: int = CELL) -> DataFrame:
+    """a, b: links that connect all keys which share a table cell and whose five-word fingerprints are near enough.
+
+    Each segment of the two-word fingerprint is a table in which every document stands under its value.  All pairs
+    of a cell are compared by the whole five-word fingerprint, unless links of that cell connect them already.
+    Cells with more than ``most`` members are split without losing a pair.  Members near their smallest key are linked
+    with it and so need no comparison among themselves: they are the star.  The rest and the star are dealt into
+    blocks by a hash of the key; each block of the rest meets each other block, of the rest and of the star.
     """
-    values = []
-    for s in range(min(SEGMENTS, 64 * WIDE // width)):
-        word, offset = divmod(s * width, 64)
-        low = F.shiftrightunsigned(F.col("near")[word], offset)
-        if offset + width > 64:
-            low = low.bitwiseOR(F.shiftleft(F.col("near")[word + 1], 64 - offset))
-        values.append(low.bitwiseAND(F.lit((1 << width) - 1)).bitwiseOR(F.lit(s << 56)))
-    # 32 bits beyond the segments travel along, to turn away strangers that share a cell.
-    peek = F.shiftright(F.col("near")[WIDE - 1], 32).cast("int").alias("peek")
-    member = F.struct("key", "peek")
-    placed = prints.select("doc_id", "key", peek, F.explode(F.array(*values)).alias("cell"))
-    cells = placed.groupBy("cell").agg(F.min_by(member, F.struct("doc_id", "key")).alias("one"), F.min(member).alias("two"))
-    ball = F.array(*[F.lit(m) for m in (0, *[1 << i for i in range(width)])]).cast("array<long>")
-    asked = placed.select("key", "peek", "cell", F.explode(ball).alias("flip")).select("key", "peek", F.col("cell").bitwiseXOR(F.col("flip")).alias("asked"))
-    met = asked.join(cells, asked["asked"] == cells["cell"])
-    off = lambda m: F.bit_count(F.col(f"{m}.peek").bitwiseXOR(F.col("peek")))
-    close = lambda m: (F.col(f"{m}.key") != F.col("key")) & (off(m) <= 10)
-    met = met.filter(close("one") | close("two"))
-    offer = lambda m: F.min(F.when(close(m), F.struct(off(m).alias("off"), F.col(f"{m}.key").alias("key"))))
-    least = lambda m: F.min(F.when(close(m), F.col(f"{m}.key")))
-    best = met.groupBy(F.col("key").alias("a"), F.shiftright("asked", 56).alias("segment")).agg(
-        F.least(offer("one"), offer("two")).alias("nearest"), F.least(least("one"), least("two")).alias("smallest")
-    )
-    pairs = best.select("a", F.explode(F.array("nearest.key", "smallest")).alias("b"))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    side = lambda k: prints.select(F.col("key").alias(k), F.col("full").alias(f"full_{k}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter(_distance("full_a", "full_b") <= bits_for(similarity)).select("a", "b")
+    max_bits = bits_for(similarity)
+    words = [f"w{i}" for i in range(WIDE)]
+    placed = prints.select("key", *[F.col("full")[i].alias(w) for i, w in enumerate(words)], F.explode("cells").alias("cell"))
+    full = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("key").alias("pivot")).filter(F.col("n") > most).drop("n")
+    of_pivot = prints.select(F.col("key").alias("pivot"), *[F.col("full")[i].alias(f"p{i}") for i in range(WIDE)])
+    full = store(full.join(of_pivot, "pivot"), "full_cells")
+    pairs = None
+    if full.isEmpty():
+        parts = placed.select(F.col("cell").cast("long").alias("part"), "key", *words)
+    else:
+        differ = sum((F.bit_count(F.col(f"w{i}").bitwiseXOR(F.col(f"p{i}"))) for i in range(1, WIDE)), F.bit_count(F.col("w0").bitwiseXOR(F.col("p0"))))
+        crowd = placed.join(full, "cell").withColumn("star", differ <= max_bits)
+        pairs = crowd.filter(F.col("star") & (F.col("key") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("key").alias("b"))
+        blocks = lambda of: F.ceil(F.count_if(of) / most)
+        sizes = store(crowd.groupBy("cell").agg(blocks(~F.col("star")).alias("rests"), blocks(F.col("star")).alias("stars")), "blocks")
+        dealt = placed.join(full.join(sizes, "cell"), "cell", "left").withColumn("star", differ <= max_bits)
+        salt = F.xxhash64("key")
+        own = F.when(F.col("star"), F.col("rests") + F.pmod(salt, F.col("stars"))).otherwise(F.pmod(salt, F.greatest("rests", F.lit(1))))
+        none, total = F.array().cast("array<long>"), F.col("rests") + F.col("stars")
+        meets = (
+            F.when(F.col("pivot").isNull(), F.array(F.lit(-1).cast("long")))
+            .when(F.col("star"), F.when(F.col("rests") > 0, F.sequence(F.lit(0).cast("long"), F.col("rests") - 1)).otherwise(none))
+            .otherwise(F.filter(F.sequence(F.lit(0).cast("long"), total - 1), lambda x: x != F.col("own")))
+        )
+        dealt = dealt.withColumn("own", own).withColumn("meets", F.explode(meets))
+        part = F.when(F.col("pivot").isNull(), F.col("cell").cast("long")).otherwise(F.xxhash64("cell", F.least("own", "meets"), F.greatest("own", "meets")))
+        parts = dealt.select(part.alias("part"), "key", *words)
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_cells(batches):
+            key = rows.column("key").to_numpy()
+            one, two = links_in_cells(rows.column("part").to_numpy(), np.stack([rows.column(w).to_numpy().view(np.uint64) for w in words], axis=1), max_bits)
+            yield pa.RecordBatch.from_arrays([pa.array(key[one]), pa.array(key[two])], ["a", "b"])
+
+    met = parts.repartition("part").sortWithinPartitions("part", "key").mapInArrow(scan, "a long, b long")
+    pairs = met if pairs is None else pairs.unionByName(met)
+    return pairs.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -227,9 +309,7 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     if not prints.groupBy("key").count().filter("count > 1").isEmpty():
         docs = drop_duplicates(docs)
         prints = store(wide_fingerprints(docs), "wide")
-    # Wide enough that unrelated documents seldom meet in a cell, whatever their number.
-    width = min(28, max(20, int(np.ceil(np.log2(max(2, prints.count())))) + 6))
-    found = roots(similar_links(prints, similarity, width))
+    found = roots(similar_links(prints, similarity))
     grouped = prints.select("key", "doc_id").join(found, F.col("key") == F.col("node"))
     kept = grouped.groupBy("root").agg(F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("_kept"))
     gone = grouped.join(kept, "root").filter(F.col("key") != F.col("_kept")).select(F.col("key").alias("_gone"))
