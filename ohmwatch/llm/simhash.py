@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from itertools import repeat
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -147,7 +148,7 @@ def near_components(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Dat
 #: Near duplicates by similarity: words of 64 bits in a fingerprint, shingle sizes for candidates and for the distance.
 WIDE, CANDIDATE_SHINGLE, SHINGLE = 4, 2, 5
 #: Bits of a segment, whatever the number of documents.  Each permutation of the bits is cut into segments, each a table.
-WIDTH, PERMUTATIONS = 16, 1
+WIDTH, PERMUTATIONS = 16, 4
 SEGMENTS = 64 * WIDE // WIDTH
 #: Members of a table cell, or of a block of a fuller cell, that are compared in one go.
 CELL = 1024
@@ -162,6 +163,16 @@ def _orders() -> np.ndarray:
 ORDERS = _orders()
 
 
+def recall(bits: int) -> float:
+    """Chance that fingerprints which differ in ``bits`` random bits share a cell: up to SEGMENTS - 1 bits it is sure.
+
+    For one permutation, the chance that no segment is free of differing bits is counted by inclusion and exclusion.
+    """
+    total = 64 * WIDE
+    apart = sum((-1) ** i * comb(SEGMENTS, i) * comb(total - i * WIDTH, bits) for i in range(SEGMENTS + 1)) / comb(total, bits)
+    return 1 - apart**PERMUTATIONS
+
+
 def bits_for(similarity: float, total: int = 64 * WIDE) -> int:
     """Differing bits of ``total`` that texts of this resemblance are within five times out of six.
 

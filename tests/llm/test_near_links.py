@@ -51,3 +51,17 @@ def test_links_connect_what_all_pairs_of_a_cell_connect(spark, most):
     assert all(p in distance for p in got)
     assert groups(got, keys) == groups(wanted, keys)
     assert {r.node: r.root for r in roots(links).collect()} == {k: g for k, g in groups(wanted, keys).items() if any(k in p for p in wanted)}
+
+
+def test_recall_does_not_depend_on_the_number_of_documents():
+    """Cells come from the bits alone, so a pair that meets in a small table meets in a large one; the share is as stated."""
+    draw = np.random.default_rng(8)
+    near = draw.integers(0, 2, (2000, 256)).astype(np.uint8)
+    assert np.array_equal(simhash.cells_of(near)[:10], simhash.cells_of(near[:10]))
+    for bits in (15, 24, 39):
+        other = near.copy()
+        for row in other:
+            row[draw.choice(256, bits, replace=False)] ^= 1
+        shared = (simhash.cells_of(near) == simhash.cells_of(other)).any(axis=1).mean()
+        assert abs(shared - simhash.recall(bits)) < 0.01
+    assert simhash.recall(15) == 1 and simhash.recall(24) > 0.9999 and simhash.recall(39) > 0.98
