@@ -42,9 +42,13 @@ RULES = (
     ("MPL-2.0", (50,)), ("Unlicense", (60,)),
 )
 
-#: A sentence ends at a line break, or at a full stop, exclamation or question mark before white space.
+#: A text is cut at line breaks, and at a full stop, exclamation or question mark before white space.  The pieces of
+#: a sentence that was wrapped or has a full stop inside stand side by side and are matched together.
 SPLIT = r"[.!?:]*[\x20\x09-\x0D]*\n+|[.!?][\x20\x09-\x0D]+"
 _NOT_PLAIN = "[^A-Za-z0-9]+"
+#: Lines may begin with comment prefixes made of letters; other prefixes are not words.
+_MARKED = r"(?:\n(?:dnl|rem)(?=[ \n]))"
+_GAP = rf"(?:{_MARKED}*[ \n])"
 
 
 def _plain(sentence: str) -> str:
@@ -55,6 +59,11 @@ def plain(sentence: str) -> str:
     return " ".join(_plain(sentence).split())
 
 
+def _pattern(known: list[str]) -> str:
+    """The known sentences in whole pieces, one to a line, longest first; each word may begin a new piece."""
+    return rf"(?:{_MARKED}+[ \n]|\n)(?:" + "|".join(k.replace(" ", _GAP) for k in sorted(known, key=lambda k: (-len(k), k))) + r")(?=\n)"
+
+
 def _run(ids: tuple[int, ...]) -> str:
     return "".join(f"<{i}>" for i in ids)
 
@@ -62,22 +71,29 @@ def _run(ids: tuple[int, ...]) -> str:
 def licences(docs: DataFrame, sentences: dict[int, str] = SENTENCES, rules: tuple = RULES) -> DataFrame:
     """doc_id, sentence_ids, licences, n_known, n_other: documents with a known sentence or another mention of a licence.
 
-    A sentence is normalised to lower-case ASCII words; the table of known sentences is a fixed small list.  A
+    Pieces are normalised to lower-case ASCII words, so comment prefixes go.  A known sentence, from a fixed small
+    list, is found where whole pieces in a row make it up, so it may be wrapped anywhere; the longest one counts.  A
     document's known sentences in order form a run like <1><5>.  Rules are tried in order; each takes its
     identifiers out wherever they stand side by side, and names a licence.  sentence_ids is the whole run, licences
-    the names in rule order, joined by commas, empty if no rule fits.  n_other counts unknown sentences with
+    the names in rule order, joined by commas, empty if no rule fits.  n_other counts the remaining pieces with
     the word license or licence.  Rows that repeat an id and a text count once; null and empty texts give no row.
     """
-    known = docs.sparkSession.createDataFrame([(i, plain(s)) for i, s in sentences.items()], "id int, known string")
-    rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.posexplode(F.split("text", SPLIT)).alias("at", "sentence"))
-    rows = rows.select("doc_id", "mark", "at", F.lower(F.trim(F.regexp_replace("sentence", _NOT_PLAIN, " "))).alias("sentence"))
-    rows = rows.join(F.broadcast(known), F.col("sentence") == F.col("known"), "left")
-    rows = rows.filter(F.col("id").isNotNull() | F.concat(F.lit(" "), "sentence", F.lit(" ")).rlike(" licen[sc]es? "))
-    found = rows.select("doc_id", "mark", "at", "id").distinct().groupBy("doc_id", "mark").agg(
-        F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("at", "id")))).alias("seen"),
-        F.count("id").alias("n_known"), F.count_if(F.col("id").isNull()).alias("n_other"),
+    ids = {plain(s): i for i, s in sentences.items()}
+    pattern = F.lit(_pattern(list(ids)))
+    # One piece to a line, its words parted by single blanks, with a line break before and after each.
+    lines = F.regexp_replace(F.regexp_replace("text", SPLIT, "\n"), r"[^A-Za-z0-9\n]+", " ")
+    lines = F.regexp_replace(F.concat(F.lit("\n"), F.lower(lines), F.lit("\n")), r" ?\n[ \n]*", "\n")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), lines.alias("lines"))
+    identifier = F.create_map(*[x for known, i in ids.items() for x in (F.lit(known), F.lit(i))])
+    sentence = lambda m: F.trim(F.regexp_replace(m, _GAP, " "))
+    seen = F.transform(F.regexp_extract_all("lines", pattern, F.lit(0)), lambda m: identifier[sentence(m)])
+    other = F.regexp_count(F.regexp_replace("lines", pattern, F.lit("\n")), F.lit(r"\n(?:[^\n]* )?licen[sc]es?(?= |\n)[^\n]*"))
+    found = rows.select("doc_id", "mark", seen.alias("seen"), other.cast("long").alias("n_other"))
+    found = found.filter((F.size("seen") > 0) | (F.col("n_other") > 0)).dropDuplicates(["doc_id", "mark"])
+    found = found.select(
+        "doc_id", F.size("seen").cast("long").alias("n_known"), "n_other",
+        F.array_join(F.transform("seen", lambda i: F.concat(F.lit("<"), i.cast("string"), F.lit(">"))), "").alias("sentence_ids"),
     )
-    found = found.select("doc_id", "n_known", "n_other", F.array_join(F.transform("seen", lambda s: F.concat(F.lit("<"), s["id"].cast("string"), F.lit(">"))), "").alias("sentence_ids"))
     steps = F.array(*[F.struct(F.lit(_run(ids)).alias("run"), F.lit(name).alias("name")) for name, ids in rules])
     start = F.struct(F.col("sentence_ids").alias("left"), F.array().cast("array<string>").alias("names"))
 
