@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import repeat
 
 import numpy as np
@@ -23,7 +23,7 @@ RETRIEVE = 0.6
 #: Share of the question's and of the answer's word sequences that must stand in the passage.
 OVERLAP = 0.5
 GRAM = 5
-#: Items with fewer words are not searched: they would match by chance.
+#: Items with fewer words are found by their exact word sequence: a share of so few words would match by chance.
 LEAST_WORDS = 8
 #: Characters of test items in one index; more items make more indexes, each searched with all passages.
 INDEX_CHARS = 1 << 20
@@ -64,7 +64,7 @@ def overlap(part: list[bytes], passage: list[bytes]) -> float:
 class Index:
     """An inverted index of item segments.  Weights are BM25 divided by the segment's own score, so 1 is the most."""
 
-    items: list[tuple[int, list[bytes], list[bytes]]]  # id, question, answer
+    items: list[tuple[int | None, list[bytes], list[bytes]]]  # id, question, answer
     item_of: np.ndarray  # of each segment
     terms: dict[bytes, int]
     starts: np.ndarray  # of each term's postings
@@ -75,18 +75,22 @@ class Index:
     bounds: np.ndarray
     frequent: np.ndarray  # terms too frequent to make a match alone
     rest: np.ndarray  # most that frequent terms add in each block
+    short: dict[tuple[bytes, ...], list[int | None]] = field(default_factory=dict)  # ids of items with few words
 
     @property
     def n_blocks(self) -> int:
         return len(self.rest)
 
 
-def build_index(items: list[tuple[int, str]]) -> Index | None:
+def build_index(items: list[tuple[int | None, str]]) -> Index | None:
     kept, item_of, texts = [], [], []
+    short: dict[tuple[bytes, ...], list[int | None]] = {}
     for key, text in items:
         question, answer = question_answer(text or "")
         words = question + answer
         if len(words) < LEAST_WORDS:
+            if words:
+                short.setdefault(tuple(words), []).append(key)
             continue
         pieces = max(1, -(-len(words) // HALF))
         size = -(-len(words) // pieces)
@@ -95,7 +99,8 @@ def build_index(items: list[tuple[int, str]]) -> Index | None:
             texts.append(words[i : i + size])
         kept.append((key, question, answer))
     if not kept:
-        return None
+        none = np.zeros(0, np.int64)
+        return Index([], none, {}, none, none, none, none, none, none, none, none, short) if short else None
     terms: dict[bytes, int] = {}
     rows = []  # term, segment, frequency
     for s, words in enumerate(texts):
@@ -128,7 +133,7 @@ def build_index(items: list[tuple[int, str]]) -> Index | None:
     np.add.at(rest, segment[of_frequent], weight[of_frequent])
     return Index(
         kept, np.array(item_of), terms, starts, segment, weight, np.searchsorted(cells // n_blocks, np.arange(len(terms) + 1)),
-        cells % n_blocks, bounds, frequent, np.maximum.reduceat(rest, np.arange(0, n, BLOCK)),
+        cells % n_blocks, bounds, frequent, np.maximum.reduceat(rest, np.arange(0, n, BLOCK)), short,
     )
 
 
@@ -141,7 +146,7 @@ def _expand(starts: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def search(words: list[list[bytes]], index: Index) -> list[tuple[int, int, float, int]]:
-    """(document, item, score, half passage) for passages that reach the threshold with a segment of the item.
+    """(document, item, score, half passage) for all passages that reach the threshold with a segment of the item.
 
     A passage is two half passages in a row.  Bounds of blocks come first, from the rarer terms and what frequent
     terms can add at most; only blocks whose bound reaches the threshold are scored, with all their terms.
@@ -150,7 +155,7 @@ def search(words: list[list[bytes]], index: Index) -> list[tuple[int, int, float
     halves = -(-lengths // HALF)
     first = np.cumsum(halves) - halves
     n_halves = int(halves.sum())
-    if not n_halves:
+    if not n_halves or not index.items:
         return []
     get = index.terms.get
     ids = np.concatenate([np.fromiter(map(get, ws, repeat(-1)), np.int64, len(ws)) for ws in words])
@@ -168,7 +173,7 @@ def search(words: list[list[bytes]], index: Index) -> list[tuple[int, int, float
     both = bound.astype(float)
     both[:-1][~last[:-1]] += bound[1:][~last[:-1]]
     both += index.rest
-    found: dict[tuple[int, int], tuple[float, int]] = {}
+    found: dict[tuple[int, int, int], float] = {}
     doc_of = np.repeat(np.arange(len(words)), halves)
     ends = np.searchsorted(half, np.arange(n_halves + 1))
     for h, block in np.argwhere(both >= RETRIEVE):
@@ -177,9 +182,9 @@ def search(words: list[list[bytes]], index: Index) -> list[tuple[int, int, float
         inside = index.segments[places] // BLOCK == block
         score = np.bincount(index.segments[places][inside] - block * BLOCK, index.weights[places][inside], BLOCK)
         for s in np.flatnonzero(score >= RETRIEVE):
-            key = (int(doc_of[h]), int(index.item_of[block * BLOCK + s]))
-            found[key] = max(found.get(key, (0.0, 0)), (float(score[s]), int(h - first[doc_of[h]])))
-    return [(d, i, score, h) for (d, i), (score, h) in sorted(found.items())]
+            key = (int(doc_of[h]), int(index.item_of[block * BLOCK + s]), int(h - first[doc_of[h]]))
+            found[key] = max(found.get(key, 0.0), float(score[s]))
+    return [(d, i, score, h) for (d, i, h), score in sorted(found.items())]
 
 
 def verified(words: list[bytes], item: tuple[int, list[bytes], list[bytes]], half: int) -> tuple[float, float]:
@@ -189,27 +194,37 @@ def verified(words: list[bytes], item: tuple[int, list[bytes], list[bytes]], hal
     return overlap(item[1], near), overlap(item[2], near)
 
 
-def leaks(texts: list[str | None], index: Index) -> list[tuple[int, int, float, float, float]]:
-    """(place of the text, item id, score, question overlap, answer overlap) of verified matches."""
+def short_leaks(words: list[bytes], index: Index) -> Iterator[int | None]:
+    """Ids of items with few words whose whole word sequence stands in the text."""
+    for size in sorted({len(k) for k in index.short}):
+        for sequence in sorted(index.short.keys() & grams(words, size)):
+            yield from index.short[sequence]
+
+
+def leaks(texts: list[str | None], index: Index) -> list[tuple[int, int | None, float, float, float]]:
+    """(place of the text, item id, score, question overlap, answer overlap) of items with a verified passage, the best of them."""
     words = [plain_words(t) for t in texts]
-    out = []
+    best: dict[tuple[int, int], tuple[float, int, float, float]] = {}
     for d, i, score, half in search(words, index):
+        if (d, i) in best and best[d, i][:2] > (score, half):
+            continue
         question, answer = verified(words[d], index.items[i], half)
         if question >= OVERLAP and answer >= OVERLAP:
-            out.append((d, index.items[i][0], score, question, answer))
-    return out
+            best[d, i] = (score, half, question, answer)
+    out = [(d, index.items[i][0], score, question, answer) for (d, i), (score, _, question, answer) in best.items()]
+    return out + [(d, key, 1.0, 1.0, 1.0) for d, ws in enumerate(words) for key in short_leaks(ws, index)]
 
 
 def indexes(items: DataFrame) -> Iterator[Index]:
     """Indexes of the test items (item_id, text), each of a bounded amount of text; the items go by in blocks.
 
-    Null, empty and very short items are left out, as the module says.
+    Items without a word are left out.
     """
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-chars // INDEX_CHARS)
     for block in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).select("item_id", "text").toArrow()
-        index = build_index(sorted((i, t) for i, t in zip(rows["item_id"].to_pylist(), rows["text"].to_pylist()) if i is not None and t))
+        index = build_index(sorted(((i, t) for i, t in zip(rows["item_id"].to_pylist(), rows["text"].to_pylist()) if t), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
         if index:
             yield index
 
@@ -217,8 +232,9 @@ def indexes(items: DataFrame) -> Iterator[Index]:
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap: a row for each document and test item found in it.
 
-    ``docs`` needs doc_id and text, ``items`` item_id and text.  Score is the best passage's BM25 as a share of the
-    item segment's own.  Null and empty texts match nothing; repeated rows are reported each; items with the same
+    ``docs`` needs doc_id and text, ``items`` item_id and text.  Score is the BM25 of the best passage that passes the
+    overlap check, as a share of the item segment's own; an item under eight words is found as its exact word sequence,
+    with score and overlaps 1.  Items with a null id are reported under it.  Null and empty texts match nothing; repeated rows are reported each; items with the same
     text are all reported.  Other columns are not read.  Without items the result is empty.
     """
     spark = docs.sparkSession
