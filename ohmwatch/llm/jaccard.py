@@ -33,8 +33,9 @@ MOST_MATCHES, VERIFY = 16, 0.05
 WIDE = 8
 #: Postings expected of a shingle from which its list is not gathered in one task.
 HOT = 50_000
-#: Pairs between components, for each posting, that are met without a further round of pivots.
-PAIRS = 4
+#: Pairs between components, for each posting, that are met without a further round of pivots: their parity bits are
+#: compared inside the join, which costs less than a round.
+PAIRS = 256
 #: Places of the filter that thins the texts out before those to verify are joined.
 SLOTS = 1 << 18
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
@@ -206,13 +207,12 @@ def _met_again(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def shared_postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     """token, key, n, least: prefix postings, each once, of tokens that several documents have in their prefix.
 
-    The lists of tokens expected in many documents are not gathered: they are made distinct as rows.
+    The list of a token expected in many documents is dealt out by key and kept as it is.
     """
-    rows = _postings(docs, counts)
-    cold = rows.filter("NOT hot").select("token", "key", "n", "least", F.lit(False).alias("more"))
-    cold = cold.repartition("token").sortWithinPartitions("token", "key")
-    cold = cold.mapInArrow(_met_again, "token long, key binary, n int, least int, more boolean").drop("more")
-    return cold.unionByName(rows.filter("hot").select("token", "key", "n", "least").distinct())
+    salt = F.when(F.col("hot"), F.xxhash64("key")).otherwise(F.lit(0))
+    rows = _postings(docs, counts).select("token", "key", "n", "least", F.col("hot").alias("more"))
+    dealt = rows.repartition("token", salt).sortWithinPartitions("token", "key")
+    return dealt.mapInArrow(_met_again, "token long, key binary, n int, least int, more boolean").drop("more")
 
 
 def _lengths(a: str, b: str):
