@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import reduce
-from itertools import count, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ CELLS = 1 << 18
 #: Greatest number of matches that a prefix may demand, and the work of verifying one shingle against reading one posting.
 MOST_MATCHES, VERIFY = 16, 0.05
 #: Longs in the parity bits of a set.
-WIDE = 8
+WIDE = 16
 #: Postings expected of a shingle from which its list is not gathered in one task.
 HOT = 50_000
 #: Pairs between components, for each posting, that are met without a further round of pivots: their parity bits are
@@ -263,17 +263,21 @@ def links(docs: DataFrame, reps: DataFrame, lists: DataFrame) -> DataFrame:
     """a, b: similar sets that connect all sets which are connected by similarity.
 
     Pairs within a list grow with its square, and most of them connect what is connected already.  So each list first
-    compares its members with one of them, the pivot.  In further rounds the members outside the list's largest
+    compares its members with one of them, the pivot: the one whose postings most others share.  In further rounds the members outside the list's largest
     component get a pivot of their own, until the pairs left between components are no more than a few for each
     posting, or a round finds nothing new.  All pairs between different components are met in the end, so no
     connection is lost; they alone need the number of matches, as a pivot sees only some lists of a pair.
     """
     budget = PAIRS * lists.count()
-    now = lists.withColumn("root", F.col("key")).withColumn("major", F.lit(None).cast("binary"))
+    # Postings shared with many others make a good pivot: the text that the others of a group were made from.
+    length = F.floor((F.first("n") * (UNDER - OVER)) / UNDER) + F.first("least")
+    sizes = lists.groupBy("token").agg(F.count("*").alias("held"))
+    central = lists.join(sizes, "token").groupBy("key").agg((F.sum(F.log("held")) / length).alias("central"))
+    now = lists.join(central, "key").withColumn("root", F.col("key")).withColumn("major", F.lit(None).cast("binary"))
     found = None
-    for turn in count():
+    while True:
         minor = now.filter(F.col("major").isNull() | (F.col("root") != F.col("major")))
-        pivots = minor.groupBy("token").agg(F.min_by(F.struct("key", "root", "n"), F.xxhash64("key", F.lit(turn))).alias("p"))
+        pivots = minor.groupBy("token").agg(F.max_by(F.struct("key", "root", "n"), F.struct("central", "key")).alias("p"))
         met = now.join(pivots, "token").filter((F.col("root") != F.col("p.root")) & _lengths("n", "p.n"))
         met = store(met.select(F.least("key", "p.key").alias("a"), F.greatest("key", "p.key").alias("b")).distinct(), "met")
         fresh = _linked(docs, reps, met, "pivot")
