@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ohmwatch import fixed_values as V
 from ohmwatch.functions.text import BLANKS, CHUNK_OVERLAP, CHUNK_SIZE, REFERENCE_CHARS, TOKEN
+from ohmwatch.operators import iforest
 from ohmwatch.schema import CATEGORICAL, FEATURES, RAW_NUMERIC
 
 SERVICES = ["click", "error", "purchase", "signup", "view"]
@@ -51,18 +52,25 @@ traffic AS (
   FROM gaps
   WINDOW w AS (PARTITION BY src_asset ORDER BY ts_us, record_id))"""
 
-MATRIX = (
-    TRAFFIC
-    + """,
-matrix AS (
-  SELECT *, avg(request_rate) OVER w AS rolling_request_rate_mean,
+SLOT = "CAST('0x' || substr(md5(CAST(record_id AS VARCHAR)), 1, 7) AS BIGINT) % 1000"
+
+
+def matrix_of(source: str, name: str, stats: str | None = None) -> str:
+    """Features of the records of ``source``, deviations by its own moments or those of another table."""
+    mean, std = "avg(packet_size) OVER ()", "stddev_samp(packet_size) OVER ()"
+    if stats:
+        mean, std = f"(SELECT avg(packet_size) FROM {stats})", f"(SELECT stddev_samp(packet_size) FROM {stats})"
+    return f"""
+{name} AS MATERIALIZED (
+  SELECT *, record_id AS id, avg(request_rate) OVER w AS rolling_request_rate_mean,
          coalesce(stddev_samp(latency_ms) OVER w, 0.0) AS rolling_latency_std,
-         (packet_size - avg(packet_size) OVER ()) / (coalesce(stddev_samp(packet_size) OVER (), 0) + 1e-6)
-           AS packet_size_zscore,
-         CAST('0x' || substr(md5(CAST(record_id AS VARCHAR)), 1, 7) AS BIGINT) % 1000 AS slot
-  FROM traffic
+         (packet_size - {mean}) / (coalesce({std}, 0) + 1e-6) AS packet_size_zscore,
+         {SLOT} AS slot
+  FROM {source}
   WINDOW w AS (ORDER BY ts_us, record_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))"""
-)
+
+
+MATRIX = TRAFFIC + "," + matrix_of("traffic", "matrix")
 
 
 def minmax(column: str, table: str) -> str:
@@ -119,13 +127,20 @@ cutoff AS (SELECT quantile_cont(factor, 0.9) AS c FROM factors)"""
 
 
 def lof_events() -> str:
-    d = distance(FEATURES, "q", "b")
     return (
         MATRIX
         + """,
-train AS (SELECT record_id AS id, * FROM matrix WHERE slot < 700),
-test AS (SELECT record_id AS id, * FROM matrix WHERE slot >= 700)"""
-        + lof_tables(FEATURES, 20)
+train AS (SELECT * FROM matrix WHERE slot < 700),
+test AS (SELECT * FROM matrix WHERE slot >= 700)"""
+        + outer_lof()
+    )
+
+
+def outer_lof() -> str:
+    """Factors of ``test`` against ``train``."""
+    d = distance(FEATURES, "q", "b")
+    return (
+        lof_tables(FEATURES, 20)
         + f""",
 found AS (
   SELECT id, unnest(n) AS n FROM (
@@ -139,6 +154,114 @@ outer_lof AS (
     )
 
 
+TREES, SAMPLE, DEPTH = iforest.N_ESTIMATORS, iforest.SAMPLE_ROWS, iforest.depth_limit(iforest.SAMPLE_ROWS)
+PATH = (
+    "(CASE WHEN {n} <= 1 THEN 0 WHEN {n} = 2 THEN 1 ELSE round((2 * (ln({n} - 1.0::DOUBLE) + 0.5772156649015329::DOUBLE) "
+    "- 2 * ({n} - 1.0::DOUBLE) / {n}) * 4294967296) / 4294967296 END)"
+)
+
+
+def forest_tables(train: str, scored: str, columns: list[str]) -> str:
+    """``grown``, the node table of the forest of ``train(id, columns)``, and ``forest(id, score)`` of ``scored``.
+
+    Each tree grows level by level: a node's least and greatest values, then its axis and cut from the digest of its
+    place, then its rows' way down.  Every record then walks down every tree by the written nodes.
+    """
+    number = lambda digest, start: f"CAST('0x' || substr({digest}, {start}, 10) AS BIGINT)"
+    seed, axes = iforest.SEED, len(columns)
+    lows, highs = (f"[{', '.join(f'CAST({f}({c}) AS DOUBLE)' for c in columns)}]" for f in ("min", "max"))
+    point = f"[{', '.join(f'CAST({c} AS DOUBLE)' for c in columns)}]"
+    parts = [f"""
+chance AS (SELECT {iforest.SPARE * SAMPLE * TREES}::DOUBLE / count(*) AS each FROM {train}),
+dealt AS MATERIALIZED (
+  SELECT DISTINCT id, tree FROM (
+    SELECT id, CASE WHEN each >= {TREES} THEN go ELSE {number('digest', 11)} % {TREES} END AS tree,
+           each >= {TREES} OR {number('digest', 1)} < floor(each / ceil(each) * 1099511627776) AS chosen
+    FROM (SELECT *, md5(id || ':' || go || ':{seed}') AS digest FROM (
+      SELECT id, each, unnest(range(CASE WHEN each >= {TREES} THEN {TREES} ELSE CAST(ceil(each) AS BIGINT) END)) AS go FROM {train}, chance)))
+  WHERE chosen),
+at0 AS MATERIALIZED (
+  SELECT tree, id, 0 AS slot FROM (
+    SELECT *, row_number() OVER (PARTITION BY tree ORDER BY md5(id || ':' || tree || ':{seed}:tree'), id) AS place FROM dealt)
+  WHERE place <= {SAMPLE})"""]
+    for d in range(DEPTH + 1):
+        parts.append(f"""
+n{d} AS MATERIALIZED (
+  SELECT tree, slot, {d} AS depth, size, feature, CASE WHEN cut < highs[feature] THEN cut ELSE lows[feature] END AS cut FROM (
+    SELECT *, lows[feature] + {number('digest', 11)} / 1099511627776.0::DOUBLE * (highs[feature] - lows[feature]) AS cut FROM (
+      SELECT *, CASE WHEN {d} = {DEPTH} OR size < 2 OR len(axes) = 0 THEN 0
+                     ELSE axes[1 + CAST(floor({number('digest', 1)} / 1099511627776.0::DOUBLE * len(axes)) AS INT)] END AS feature
+      FROM (SELECT *, list_filter(range(1, {axes + 1}), lambda i: highs[i] - lows[i] > 1e-9 * greatest(1.0, abs(lows[i]), abs(highs[i]))) AS axes
+            FROM (SELECT tree, slot, count(*) AS size, {lows} AS lows, {highs} AS highs, md5('{seed}:' || tree || ':' || slot) AS digest
+                  FROM at{d} JOIN (SELECT id, {', '.join(columns)} FROM {train}) USING (id) GROUP BY tree, slot)))))""")
+        if d < DEPTH:
+            parts.append(f"""
+at{d + 1} AS MATERIALIZED (
+  SELECT tree, id, 2 * slot + CASE WHEN {point}[feature] <= cut THEN 1 ELSE 2 END AS slot
+  FROM at{d} JOIN n{d} USING (tree, slot) JOIN (SELECT id, {', '.join(columns)} FROM {train}) USING (id) WHERE feature > 0)""")
+    parts.append("\ngrown AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM n{d}" for d in range(DEPTH + 1)) + ")")
+    parts.append(f"\nw0 AS (SELECT id, {point} AS p, tree, 0 AS slot FROM {scored}, range({TREES}) t(tree))")
+    for d in range(DEPTH):
+        parts.append(f"""
+w{d + 1} AS (
+  SELECT id, p, tree, CASE WHEN feature = 0 THEN slot ELSE 2 * slot + CASE WHEN p[feature] <= cut THEN 1 ELSE 2 END END AS slot
+  FROM w{d} JOIN grown USING (tree, slot))""")
+    norm = f"({TREES} * greatest({PATH.format(n=SAMPLE)}, 1.0))"
+    parts.append(f"""
+forest AS MATERIALIZED (
+  SELECT id, pow(2.0::DOUBLE, -sum(depth + {PATH.format(n='size')}) / {norm}) AS score FROM w{DEPTH} JOIN grown USING (tree, slot) GROUP BY id)""")
+    return ",".join(parts)
+
+
+def detector_tables() -> str:
+    """Both models fitted on ``train``, their scores on ``test``, cutoffs and training ranges."""
+    return (
+        outer_lof()
+        + f""",
+every AS (SELECT id, {', '.join(FEATURES)} FROM train UNION ALL SELECT id, {', '.join(FEATURES)} FROM test),"""
+        + forest_tables("train", "every", FEATURES)
+        + """,
+grades AS (SELECT score FROM forest JOIN train USING (id)),
+limits AS (
+  SELECT (SELECT quantile_cont(score, 0.9) FROM grades) AS if_cut, (SELECT c FROM cutoff) AS lof_cut,
+         (SELECT min(score) FROM grades) AS if_lo, (SELECT max(score) FROM grades) AS if_hi,
+         (SELECT min(factor) FROM factors) AS lof_lo, (SELECT max(factor) FROM factors) AS lof_hi),
+raw AS MATERIALIZED (
+  SELECT test.*, forest.score AS if_raw, outer_lof.factor AS lof_raw, forest.score > if_cut AS if_is_anomaly, outer_lof.factor > lof_cut AS lof_is_anomaly
+  FROM test JOIN forest USING (id) JOIN outer_lof USING (id), limits)"""
+    )
+
+
+def split_traffic(test: str = "test_records", stats: str | None = None) -> str:
+    """Traffic, train and test records, and the features of both."""
+    return (
+        TRAFFIC.replace("traffic AS (", "traffic AS MATERIALIZED (")
+        + f""",
+train_records AS (SELECT * FROM traffic WHERE {SLOT} < 700),
+test_records AS (SELECT * FROM traffic WHERE {SLOT} >= 700),"""
+        + matrix_of("train_records", "train")
+        + ","
+        + matrix_of(test, "test", stats)
+    )
+
+
+def verdict(scale, table: str) -> str:
+    """Scaled scores, the ensemble's and the verdict, for rows of ``raw``."""
+    return f"""
+ranked AS (SELECT *, {scale('if')} AS if_score, {scale('lof')} AS lof_score FROM {table}),
+judged AS (
+  SELECT *, (if_score + lof_score) / 2 AS ensemble_score,
+         if_is_anomaly OR lof_is_anomaly OR (if_score + lof_score) / 2 >= 0.5 AS is_anomaly FROM ranked)"""
+
+
+def in_batch(name: str) -> str:
+    return minmax(f"{name}_raw", "raw")
+
+
+def in_training(name: str) -> str:
+    return f"CASE WHEN {name}_hi - {name}_lo < 1e-9 THEN 0.0 ELSE ({name}_raw - {name}_lo) / ({name}_hi - {name}_lo) END"
+
+
 BLANK_SET = lit(BLANKS)
 STEP = CHUNK_SIZE - CHUNK_OVERLAP
 
@@ -388,6 +511,16 @@ ORACLE: dict[str, str] = {
         SELECT id AS vec_id, {r6('factor')}, factor > (SELECT c FROM cutoff) AS is_outlier FROM factors""",
     "lof_events": f"""WITH {lof_events()}
         SELECT id AS record_id, {r6('factor')}, factor > (SELECT c FROM cutoff) AS is_outlier FROM outer_lof""",
+    "iforest_scores": f"""WITH {MATRIX},{forest_tables('matrix', 'matrix', FEATURES)}
+        SELECT id AS record_id, {r6('score')}, score > (SELECT quantile_cont(score, 0.9) FROM forest) AS is_outlier FROM forest""",
+    "iforest_line_items": f"""WITH items AS MATERIALIZED (
+          SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem),
+        {forest_tables('items', 'items', ['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax'])}
+        SELECT id AS record_id, {r6('score')}, score > (SELECT quantile_cont(score, 0.9) FROM forest) AS is_outlier FROM forest""",
+    "detector_verdict": f"""WITH {split_traffic()}{detector_tables()},{verdict(in_batch, 'raw')}
+        SELECT record_id, attack_type, if_is_anomaly, {r6('if_score')}, lof_is_anomaly, {r6('lof_score')}, {r6('ensemble_score')}, is_anomaly FROM judged""",
+    "detector_reload": f"""WITH {split_traffic(stats='train_records')}{detector_tables()},{verdict(in_training, 'raw, limits')}
+        SELECT record_id, {r6('ensemble_score')}, is_anomaly FROM judged""",
     "ensemble_verdict": f"""WITH {lof_events()},
         r AS (SELECT record_id, attack_type, abs(packet_size_zscore) AS if_raw, factor AS lof_raw,
                      abs(packet_size_zscore) > (SELECT quantile_cont(abs(packet_size_zscore), 0.9) FROM train) AS if_is_anomaly,

@@ -347,7 +347,7 @@ def iforest_scores(spark, sf_dir):
 @query
 def iforest_line_items(spark, sf_dir):
     columns = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-    items = table(spark, sf_dir, "lineitem").select(F.xxhash64("l_orderkey", "l_linenumber").alias(KEY), *columns)
+    items = table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias(KEY), *columns)
     model = iforest.fit(items, columns)
     out = iforest.score(model, fan_out(items), "score")
     return out.select(KEY, r6("score"), (F.col("score") > model.cutoff).alias("is_outlier"))
