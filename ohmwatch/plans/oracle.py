@@ -55,19 +55,20 @@ traffic AS (
 SLOT = "CAST('0x' || substr(md5(CAST(record_id AS VARCHAR)), 1, 7) AS BIGINT) % 1000"
 
 
-def matrix_of(source: str, name: str, stats: str | None = None) -> str:
-    """Features of the records of ``source``, deviations by its own moments or those of another table."""
-    mean, std = "avg(packet_size) OVER ()", "stddev_samp(packet_size) OVER ()"
+def matrix_of(source: str, name: str, stats: str | None = None, part: str = "", id: str = "record_id") -> str:
+    """Features of the records of ``source``, deviations by its own moments or those of another table; of each part alone if so asked."""
+    by = f"PARTITION BY {part}" if part else ""
+    mean, std = f"avg(packet_size) OVER ({by})", f"stddev_samp(packet_size) OVER ({by})"
     if stats:
         mean, std = f"(SELECT avg(packet_size) FROM {stats})", f"(SELECT stddev_samp(packet_size) FROM {stats})"
     return f"""
 {name} AS MATERIALIZED (
-  SELECT *, record_id AS id, avg(request_rate) OVER w AS rolling_request_rate_mean,
+  SELECT *, {id} AS id, avg(request_rate) OVER w AS rolling_request_rate_mean,
          coalesce(stddev_samp(latency_ms) OVER w, 0.0) AS rolling_latency_std,
          (packet_size - {mean}) / (coalesce({std}, 0) + 1e-6) AS packet_size_zscore,
          {SLOT} AS slot
   FROM {source}
-  WINDOW w AS (ORDER BY ts_us, record_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))"""
+  WINDOW w AS ({by} ORDER BY ts_us, record_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))"""
 
 
 MATRIX = TRAFFIC + "," + matrix_of("traffic", "matrix")
@@ -254,6 +255,27 @@ judged AS (
          if_is_anomaly OR lof_is_anomaly OR (if_score + lof_score) / 2 >= 0.5 AS is_anomaly FROM ranked)"""
 
 
+def streamed() -> str:
+    """Train records, and all records in two micro-batches of equal time, each with features and scores of its own."""
+    scaled = lambda n: (
+        f"CASE WHEN max({n}_raw) OVER p - min({n}_raw) OVER p < 1e-9 THEN 0.0 "
+        f"ELSE ({n}_raw - min({n}_raw) OVER p) / (max({n}_raw) OVER p - min({n}_raw) OVER p) END"
+    )
+    return (
+        TRAFFIC.replace("traffic AS (", "traffic AS MATERIALIZED (")
+        + f""",
+train_records AS (SELECT * FROM traffic WHERE {SLOT} < 700),
+times AS (SELECT min(ts_us) AS lo, max(ts_us) AS hi FROM traffic),
+fed AS (SELECT traffic.*, least(floor((ts_us - lo) * 2 / greatest(1, hi - lo)), 1) AS step FROM traffic, times),"""
+        + matrix_of("train_records", "train")
+        + ","
+        + matrix_of("fed", "test", part="step", id="record_id + 1000000000000")
+        + detector_tables()
+        + ","
+        + verdict(scaled, "raw").replace("FROM raw)", "FROM raw WINDOW p AS (PARTITION BY step))")
+    )
+
+
 def in_batch(name: str) -> str:
     return minmax(f"{name}_raw", "raw")
 
@@ -521,6 +543,14 @@ ORACLE: dict[str, str] = {
         SELECT record_id, attack_type, if_is_anomaly, {r6('if_score')}, lof_is_anomaly, {r6('lof_score')}, {r6('ensemble_score')}, is_anomaly FROM judged""",
     "detector_reload": f"""WITH {split_traffic(stats='train_records')}{detector_tables()},{verdict(in_training, 'raw, limits')}
         SELECT record_id, {r6('ensemble_score')}, is_anomaly FROM judged""",
+    "stream_verdict": f"""WITH {split_traffic(stats='train_records')}{detector_tables()},{verdict(in_training, 'raw, limits')}
+        SELECT record_id, attack_type, if_is_anomaly, {r6('if_score')}, lof_is_anomaly, {r6('lof_score')}, {r6('ensemble_score')}, is_anomaly FROM judged""",
+    "stream_stateless": f"""WITH {TRAFFIC},{matrix_of('traffic', 'prepared')},{forest_tables('prepared', 'prepared', [*RAW_NUMERIC, 'packet_size_zscore'])}
+        SELECT record_id, {r6('packet_size_zscore')}, {r6('score', 'if_raw')}, score > (SELECT quantile_cont(score, 0.9) FROM forest) AS if_is_anomaly
+        FROM prepared JOIN forest USING (id)""",
+    "stream_micro_batch": f"WITH {streamed()} SELECT record_id, attack_type, {r6('ensemble_score')}, is_anomaly FROM judged",
+    "stream_alerts": f"""WITH {streamed()}
+        SELECT record_id, {label_case(CAUSE)} AS attack_type, false AS sent, 'mock' AS mode FROM judged WHERE is_anomaly""",
     "ensemble_verdict": f"""WITH {lof_events()},
         r AS (SELECT record_id, attack_type, abs(packet_size_zscore) AS if_raw, factor AS lof_raw,
                      abs(packet_size_zscore) > (SELECT quantile_cont(abs(packet_size_zscore), 0.9) FROM train) AS if_is_anomaly,

@@ -773,6 +773,18 @@ def stream_stateless(spark, sf_dir):
     return spark.read.parquet(out).select(KEY, r6("packet_size_zscore"), r6("if_raw"), "if_is_anomaly")
 
 
+@query
+def stream_verdict(spark, sf_dir):
+    train, test = split.split(traffic(spark, sf_dir))
+    model = detector.fit(train)
+    carried, out = store(features.add_rolling(test), "carried"), scratch_path(spark, "stream-verdict")
+    feed(carried, 3, lambda source: scoring.judge_rows(source, model, out), "verdict")
+    return spark.read.parquet(out).select(
+        KEY, "attack_type", "if_is_anomaly", r6("if_score"), "lof_is_anomaly", r6("lof_score"), r6("ensemble_score"),
+        "is_anomaly",
+    )
+
+
 @query
 def stream_zscore(spark, sf_dir):
     records, out = traffic(spark, sf_dir), scratch_path(spark, "stream-zscore")
