@@ -592,9 +592,11 @@ def dispatch_status(spark, sf_dir):
 def alert_table(spark, sf_dir):
     records = traffic(spark, sf_dir)
     reported = incidents.investigate(scored(records), records)
-    path = scratch_path(spark, "alerts")
-    sinks.append_alerts(incidents.alerts(reported), path)
-    sent = spark.read.parquet(path)
+    path, alerts = scratch_path(spark, "alerts"), store(incidents.alerts(reported), "reported")
+    # The second run repeats the first one's records, and is itself repeated.
+    for run, part in (("a", alerts.where(F.col(KEY) % 2 == 0)), ("b", alerts), ("b", alerts)):
+        sinks.append_alerts(part, path, run)
+    sent = sinks.read_alerts(spark, path)
     payload = F.from_json("payload", "struct<attack_type:string,target:string,severity:string,confidence:double>")
     status = F.coalesce("status_code", F.lit(-1)).alias("status_code")
     return sent.select(KEY, "sent", "mode", status, payload.alias("p")).select(

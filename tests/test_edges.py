@@ -6,11 +6,12 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.sql import Window, functions as F
+from pyspark.sql import DataFrameWriter, Window, functions as F
 
 from ohmwatch.functions.incidents import detection_finding
 from ohmwatch.operators import iforest, knn, ordered, retrieval
 from ohmwatch.operators.quantile import exact_quantile
+from ohmwatch.sources import published, sinks
 
 
 @pytest.mark.parametrize("values", [[*range(99), math.nan], [-math.inf, 1.0, 2.0, math.inf], [-1.7e308, 0.0, 1.7e308], [1e15, 1e15 + 1, 1e15 + 2], [0.0, 5e-324, 1e-323]])
@@ -45,11 +46,57 @@ def test_damaged_index_is_built_again(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a", "breaker opened on command"), (2, "b", "relay reset")], "doc_id long, source string, text string")
     path = str(tmp_path / "index")
     retrieval.save_index(retrieval.index_documents(docs), path)
-    for part in (tmp_path / "index" / "vectors").glob("*.parquet"):
+    for part in (tmp_path / "index" / "versions").glob("*/vectors/*.parquet"):
         part.write_bytes(b"damaged")
+    assert retrieval.load_index(spark, path) is None
     assert retrieval.load_or_build(spark, path, docs).chunks.count() == 2
 
 
+def test_a_save_that_breaks_off_leaves_the_version_before(spark, tmp_path, monkeypatch):
+    """Every write of the save fails once, the manifest's too."""
+    path = str(tmp_path / "set")
+    rows = lambda n: {name: spark.range(n + i).toDF("x") for i, name in enumerate(("one", "two", "three"))}
+    published.publish(rows(5), path, {"n": 5})
+
+    class Broken(Exception):
+        pass
+
+    for at in range(4):
+        writes = iter(range(100))
+
+        def breaking(real):
+            def write(self, *args, **kwargs):
+                if next(writes) == at:
+                    raise Broken
+                return real(self, *args, **kwargs)
+
+            return write
+
+        with monkeypatch.context() as patch:
+            for kind in ("parquet", "text"):
+                patch.setattr(DataFrameWriter, kind, breaking(getattr(DataFrameWriter, kind)))
+            with pytest.raises(Broken):
+                published.publish(rows(7), path, {"n": 7})
+        found = published.latest(spark, path)
+        assert found.facts == {"n": 5} and [found.tables[n].count() for n in ("one", "two", "three")] == [5, 6, 7]
+    newer = published.publish(rows(7), path, {"n": 7})
+    assert published.latest(spark, path).name == newer
+    next((tmp_path / "set" / "versions" / newer / "two").glob("*.parquet")).unlink()  # rows are missing: passed over
+    assert published.latest(spark, path).facts == {"n": 5}
+    assert published.latest(spark, str(tmp_path / "nothing")) is None
+
+
+def test_alerts_are_written_once(spark, tmp_path):
+    path = str(tmp_path / "alerts")
+    alerts = spark.createDataFrame([(i, f"p{i}", False, "mock", None) for i in (1, 2, 3, 3)], "record_id long, payload string, sent boolean, mode string, status_code int")
+    for run, part in (("a", alerts.where("record_id < 3")), ("a", alerts.where("record_id < 3")), ("b", alerts), ("b", alerts), ("c", alerts.limit(0))):
+        sinks.append_alerts(part, path, run)
+    rows = sinks.read_alerts(spark, path).collect()
+    assert sorted((r["record_id"], r["run"]) for r in rows) == [(1, "a"), (2, "a"), (3, "b")]
+    sinks.append_alerts(alerts.where("record_id = 1"), path, "a")  # the first run is repeated with other rows
+    assert sorted(r["record_id"] for r in sinks.read_alerts(spark, path).collect()) == [1, 3]
+
+
 def test_null_keys_carry_rows_over_buckets(spark):
     df = spark.range(1200).select("id", F.when(F.col("id") % 5 < 2, F.lit("k")).alias("key"), (F.col("id") % 7).cast("double").alias("v"))
     plain = df.withColumn("s", F.sum("v").over(Window.partitionBy("key").orderBy("id").rowsBetween(-3, 0)))

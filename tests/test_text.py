@@ -4,12 +4,13 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ohmwatch.functions import text as x
 from ohmwatch.operators import retrieval as r
-from ohmwatch.session import scratch_path
+from ohmwatch.session import scratch_path, store
 from ohmwatch.sources.documents import read_text_folder
 
 TEXTS = {
@@ -92,10 +93,32 @@ def test_blocks_and_shards_find_the_same(spark, documents):
     index = r.index_documents(documents)
     queries = spark.createDataFrame([(i, t) for i, t in enumerate(["relay", "breaker", "times", "service"])], "query_id long, text string")
     whole = r.search(index, queries).collect()
-    assert sorted(r.search(index, queries, query_block=1, shard_rows=2).collect()) == sorted(whole)
+    for direct in (0, 100):
+        assert sorted(r.search(index, queries, query_block=1, shard_rows=2, direct=direct).collect()) == sorted(whole)
+    assert r.search(index, queries.limit(0), query_block=1, shard_rows=2, direct=0).count() == 0
     assert r.search(index, queries.limit(0)).count() == 0
 
 
+def test_bounds_spare_meetings_and_lose_nothing(spark):
+    """Texts about one subject each: the fewer chunks are asked for, the fewer shards meet a block."""
+    draw = np.random.default_rng(5)
+    subject = [[f"s{s}w{i}" for i in range(2)] for s in range(40)]
+    texts = [" ".join([*draw.choice(subject[i % 40], 9), *draw.choice(["common", "usual", "plain"], 3)]) for i in range(1600)]
+    docs = spark.createDataFrame([(i, "x", t) for i, t in enumerate(texts)], "doc_id long, source string, text string")
+    index = r.index_documents(docs)
+    queries = spark.createDataFrame([(i, " ".join([*draw.choice(subject[i % 40], 4), "common"])) for i in range(80)], "query_id long, text string")
+    met = {}
+    for k in (1, 4, 200):
+        plain = r.search(index, queries, k, query_block=8, shard_rows=64, direct=10_000).collect()
+        assert sorted(r.search(index, queries, k, query_block=8, shard_rows=64, direct=0).collect()) == sorted(plain)
+        sharded = store(r.grouped(index.vectors, 64, "shard"), "sharded")
+        asked = store(r.grouped(r.query_vectors(index, queries), 8, "block"), "asked")
+        second, _ = r.visits(sharded, asked, k)
+        met[k] = second.count()
+    assert met[1] <= met[4] < met[200]
+    assert met[4] < 0.5 * sharded.select("shard").distinct().count() * asked.select("block").distinct().count()
+
+
 def test_vocabulary_cap_keeps_frequent_terms(documents):
     rows = r.vocabulary(r.counted(x.chunk(documents)), max_terms=3).orderBy("term_id").collect()
     totals = Counter(w for t in TEXTS.values() for c in windows(t, 800, 100) for w in words(c))
