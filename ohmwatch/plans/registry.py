@@ -733,9 +733,11 @@ def prompt_hash(spark, sf_dir):
 # Streams.  Each runs over all rows of the events table, as one or more micro-batches.
 
 
-def feed(records: DataFrame, parts: int, writer_of, name: str) -> None:
+def feed(records: DataFrame, parts: int, writer_of, name: str, end=None) -> None:
     """Append the records to a folder in ``parts`` steps of time; after each the stream reads what is new.
 
+    ``end`` makes a last part from the latest time.
+
     The stream stops and resumes from its progress in between, as it would after a failure.
     """
     spark = records.sparkSession
@@ -743,8 +745,11 @@ def feed(records: DataFrame, parts: int, writer_of, name: str) -> None:
     now = F.unix_micros(TIME)
     lo, hi = records.agg(F.min(now), F.max(now)).first()
     step = F.least(F.floor((now - lo) * parts / max(1, hi - lo)), F.lit(parts - 1))
-    for part in range(parts):
-        records.where(step == part).write.mode("append").parquet(folder)
+    frames = [records.where(step == part) for part in range(parts)]
+    if end is not None:
+        frames.append(end(records.agg(F.max(TIME)).first()[0]))
+    for frame in frames:
+        frame.write.mode("append").parquet(folder)
         source = scoring.read_stream(spark, folder, records.schema)
         started = writer_of(source).option("checkpointLocation", progress).trigger(availableNow=True).start()
         started.awaitTermination()
@@ -803,9 +808,8 @@ def stream_zscore(spark, sf_dir):
 @query
 def stream_rolling(spark, sf_dir):
     records = traffic(spark, sf_dir)
-    rolling = RollingStream(spark, scratch_path(spark, "stream-rolling"), timedelta(hours=1))
-    feed(records, 3, rolling.write, "rolling")
-    rolling.finish(1_000_000)
+    rolling = RollingStream(spark, scratch_path(spark, "stream-rolling"), timedelta(hours=1), records.schema)
+    feed(records, 3, rolling.write, "rolling", rolling.end)
     return rolling.result().select(KEY, r6("rolling_request_rate_mean"), r6("rolling_latency_std"))
 
 

@@ -1,19 +1,21 @@
 """Rolling features on a stream of records that may arrive out of order.
 
-A record waits until the watermark has passed its time, so that all records before it are there.  Released
-records get the same windows as a table would give them; what a later batch needs of them, the last rows of
-each key, is written beside the result.  A busy key is spread like in the batch operator, because the windows
-run over buckets of the order and not over one task per key.
+The stream's own watermark and state hold a record until no record before it can come any more, drop what is late and
+recover after a failure.  What they release is in order from batch to batch, so each batch gets the same windows as a
+table would give it, with the last rows of each key from the batches before.  A busy key is no busy task: waiting
+records are spread by their id, and windows run over buckets of the order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from datetime import timedelta
 
+import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ohmwatch.operators.features import ROLLING_ROWS, nan_to_null
 from ohmwatch.operators.ordered import BUCKET_ROWS, over_order
@@ -21,6 +23,9 @@ from ohmwatch.schema import KEY, TIME
 from ohmwatch.session import store
 
 _DONE = "__done"
+# Groups over which waiting records are spread; each keeps its share of the records of one delay.
+SLOTS = 64
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
 def _windows() -> dict[str, Callable]:
@@ -33,75 +38,86 @@ def _windows() -> dict[str, Callable]:
     }
 
 
+def _release(slot: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Rows up to the watermark go on, later ones wait in the state until the watermark passes the first of them."""
+    micros, rows = ([*part] for part in state.get) if state.exists else ([], [])
+    for frame in frames:
+        micros += frame["micros"].tolist()
+        rows += frame["row"].tolist()
+    limit = state.getCurrentWatermarkMs() * 1000
+    waiting = [i for i, m in enumerate(micros) if m > limit]
+    if waiting:
+        state.update(([micros[i] for i in waiting], [rows[i] for i in waiting]))
+        state.setTimeoutTimestamp(-(-min(micros[i] for i in waiting) // 1000))
+    elif state.exists:
+        state.remove()
+    yield pd.DataFrame({"row": [r for m, r in zip(micros, rows) if m <= limit]}, dtype="object")
+
+
+def in_order(stream: DataFrame, delay: timedelta, slots: int = SLOTS) -> DataFrame:
+    """The stream's rows as JSON (``row``), each released when the watermark has passed its time.
+
+    Rows that come more than ``delay`` after the latest time seen are late and dropped, as are rows without a time.
+    """
+    rows = nan_to_null(stream).where(F.col(TIME).isNotNull())
+    slot = F.pmod(F.xxhash64(KEY), F.lit(slots)).alias("slot")
+    packed = rows.select(TIME, slot, F.unix_micros(TIME).alias("micros"), F.to_json(F.struct(*rows.columns), _JSON).alias("row"))
+    marked = packed.withWatermark(TIME, f"{int(delay.total_seconds() * 1000)} milliseconds")
+    return marked.groupBy("slot").applyInPandasWithState(
+        _release, "row string", "micros array<long>, rows array<string>", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
 class RollingStream:
-    """Results in ``out/result/batch=n`` and state in ``out/state/batch=n``; batch n reads the state of the
-    last batch before it, so running a batch again gives the same files."""
+    """Results in ``out/result/batch=n`` and the last rows of each key in ``out/tails/batch=n``.
+
+    Batch n reads the tails of the last batch before it, so running a batch again gives the same files.
+    """
 
     def __init__(
         self,
         spark: SparkSession,
         out: str,
         delay: timedelta,
+        schema: T.StructType,
         keys: Sequence[str] = ("src_asset",),
         bucket_rows: int = BUCKET_ROWS,
     ):
-        self.spark, self.out, self.keys = spark, out, list(keys)
-        self.delay_us = int(delay.total_seconds() * 1_000_000)
+        self.spark, self.out, self.delay, self.schema, self.keys = spark, out, delay, schema, list(keys)
         self.bucket_rows = bucket_rows
 
-    def _state(self, before: int) -> tuple[DataFrame | None, int | None]:
-        """Waiting and done rows, and the watermark, as batch ``before - 1`` or an earlier one left them."""
+    def _tails(self, before: int) -> DataFrame | None:
         try:
-            marks = self.spark.read.parquet(f"{self.out}/marks").where(F.col("batch") < before)
+            tails = self.spark.read.parquet(f"{self.out}/tails").where(F.col("batch") < before)
         except AnalysisException:
-            return None, None
-        last = marks.orderBy(F.desc("batch")).first()
-        if last is None:
-            return None, None
-        return self.spark.read.parquet(f"{self.out}/state/batch={last['batch']}"), last["watermark"]
-
-    def process(self, batch: DataFrame, number: int) -> None:
-        batch = nan_to_null(batch).withColumn(_DONE, F.lit(False))
-        state, watermark = self._state(number)
-        if watermark is not None:
-            batch = batch.where(self._micros() > watermark)  # late rows are dropped
-        rows = batch if state is None else batch.unionByName(state)
-        rows = store(rows, f"rolling-{number}")
-        newest = rows.agg(F.max(self._micros())).first()[0]
-        if newest is None:
-            return
-        self._release(rows, number, max(watermark if watermark is not None else newest - self.delay_us, newest - self.delay_us))
-
-    def finish(self, number: int) -> None:
-        """Release all rows that still wait, when the source has ended."""
-        state, _ = self._state(number)
-        if state is None:
+            return None
+        last = tails.agg(F.max("batch")).first()[0]
+        return None if last is None else self.spark.read.parquet(f"{self.out}/tails/batch={last}")
+
+    def process(self, released: DataFrame, number: int) -> None:
+        """Windows over the rows that a batch released, after the tails of earlier ones."""
+        batch = released.select(F.from_json("row", self.schema, _JSON).alias("r")).select("r.*").withColumn(_DONE, F.lit(False))
+        tails = self._tails(number)
+        rows = store(batch if tails is None else batch.unionByName(tails), f"rolling-{number}")
+        if rows.where(~F.col(_DONE)).isEmpty():
             return
-        newest = state.agg(F.max(self._micros())).first()[0]
-        if newest is not None:
-            self._release(state, number, newest)
-
-    def _micros(self) -> Column:
-        return F.unix_micros(TIME)
-
-    def _release(self, rows: DataFrame, number: int, watermark: int) -> None:
-        ready = rows.where(self._micros() <= watermark)
         result = over_order(
-            ready, _windows(), [TIME, KEY], self.keys, ["request_rate", "latency_ms", _DONE], ROLLING_ROWS - 1,
+            rows, _windows(), [TIME, KEY], self.keys, ["request_rate", "latency_ms", _DONE], ROLLING_ROWS - 1,
             self.bucket_rows,
         )
         result.where(~F.col(_DONE)).drop(_DONE).write.mode("overwrite").parquet(f"{self.out}/result/batch={number}")
         newest_first = Window.partitionBy(*self.keys).orderBy(F.desc(TIME), F.desc(KEY))
-        kept = ready.withColumn("__n", F.row_number().over(newest_first)).where(F.col("__n") < ROLLING_ROWS)
-        waiting = rows.where(self._micros() > watermark)
-        state = kept.drop("__n").withColumn(_DONE, F.lit(True)).unionByName(waiting)
-        state.write.mode("overwrite").parquet(f"{self.out}/state/batch={number}")
-        # The mark is written last: without it the batch counts as not done.
-        mark = self.spark.createDataFrame([(watermark, number)], "watermark long, batch long")
-        mark.drop("batch").write.mode("overwrite").parquet(f"{self.out}/marks/batch={number}")
+        kept = rows.withColumn("__n", F.row_number().over(newest_first)).where(F.col("__n") < ROLLING_ROWS).drop("__n")
+        kept.withColumn(_DONE, F.lit(True)).write.mode("overwrite").parquet(f"{self.out}/tails/batch={number}")
+
+    def end(self, newest) -> DataFrame:
+        """A row to feed when the source has ended: its time lets the watermark pass ``newest``, and it waits for ever."""
+        late = newest + self.delay + timedelta(seconds=1)
+        row = self.spark.createDataFrame([(late,)], f"{TIME} timestamp")
+        return row.select(*[F.col(f.name) if f.name == TIME else F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema])
 
     def write(self, stream: DataFrame) -> DataStreamWriter:
-        return stream.writeStream.foreachBatch(self.process)
+        return in_order(stream, self.delay).writeStream.outputMode("append").foreachBatch(self.process)
 
     def result(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.out}/result").drop("batch")
