@@ -59,26 +59,25 @@ def mined(queries: list[list[int]], leaves: int) -> tuple[list[tuple[int, int]],
     queries or more become a node, the most frequent first; a part goes into one node a round.
     """
     nodes: list[tuple[int, int]] = []
-    number: dict[tuple[int, int], int] = {}
     while True:
         held = Counter(p for q in queries for p in q)
         queries = [sorted(q, key=lambda p: (-held[p], p)) for q in queries]
-        together = Counter(pair for q in queries for pair in zip(q, q[1:]))
-        together = {pair: n for pair, n in together.items() if n > 1}
-        if not together:
-            return nodes, queries
+        together: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for i, q in enumerate(queries):
-            pairs = sorted((at for at, pair in enumerate(zip(q, q[1:])) if pair in together), key=lambda at: (-together[q[at], q[at + 1]], at))
-            taken: set[int] = set()
-            for at in pairs:
-                if at not in taken and at + 1 not in taken:
-                    taken |= {at, at + 1}
-                    pair = (q[at], q[at + 1])
-                    if pair not in number:
-                        number[pair] = leaves + len(nodes)
-                        nodes.append(pair)
-                    q[at], q[at + 1] = number[pair], -1
-            queries[i] = [p for p in q if p >= 0]
+            for at, pair in enumerate(zip(q, q[1:])):
+                together.setdefault(pair, []).append((i, at))
+        taken: set[tuple[int, int]] = set()
+        before = len(nodes)
+        for pair, places in sorted(together.items(), key=lambda x: (-len(x[1]), x[0])):
+            free = [(i, at) for i, at in places if (i, at) not in taken and (i, at + 1) not in taken]
+            if len(free) > 1:
+                for i, at in free:
+                    taken |= {(i, at), (i, at + 1)}
+                    queries[i][at], queries[i][at + 1] = leaves + len(nodes), -1
+                nodes.append(pair)
+        if len(nodes) == before:
+            return nodes, queries
+        queries = [[p for p in q if p >= 0] for q in queries]
 
 
 class Plan:
