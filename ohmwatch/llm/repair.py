@@ -201,7 +201,7 @@ def faults(rows: DataFrame) -> DataFrame:
     return joined.select("conv_id", "turn", "role", "print", "n", fault.alias("fault"))
 
 
-def chunked(found: DataFrame) -> DataFrame:
+def chunked(found: DataFrame, rows: int = CHUNK) -> DataFrame:
     """The rows of ``faults`` in order: chunk numbers rise through the table, ``at`` within a chunk.  A copy is no row of its own."""
     order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "print"]
     ranged = found.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -212,10 +212,10 @@ def chunked(found: DataFrame) -> DataFrame:
             at = np.arange(seen, seen + batch.num_rows)
             seen += batch.num_rows
             part = batch.column("part").to_numpy()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array((part << 32) + at // CHUNK), pa.array(at % CHUNK)], [*batch.schema.names[:-1], "chunk", "at"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array((part << 32) + at // rows), pa.array(at % rows)], [*batch.schema.names[:-1], "chunk", "at"])
 
-    rows = ranged.withColumn("part", F.spark_partition_id().cast("long"))
-    return store(rows.mapInArrow(number, "conv_id long, turn long, role string, print string, n long, fault string, chunk long, at long"), "chunks")
+    ranged = ranged.withColumn("part", F.spark_partition_id().cast("long"))
+    return store(ranged.mapInArrow(number, "conv_id long, turn long, role string, print string, n long, fault string, chunk long, at long"), "chunks")
 
 
 def _kinds(role: list[str], fault: list[str | None]) -> list[str]:
@@ -416,7 +416,7 @@ def repaired(rows: DataFrame, fates: DataFrame) -> DataFrame:
     return dealt.select("conv_id", "role", "fate", "text").mapInArrow(scan, "conv_id long, repaired_sha256 string")
 
 
-def repair(rows: DataFrame, ids: DataFrame) -> DataFrame:
+def repair(rows: DataFrame, ids: DataFrame, chunk_rows: int = CHUNK) -> DataFrame:
     """One row for each conv_id of ``ids``: counts of faults, least cost, least audit and digest of the repaired rows.
 
     ``rows`` has conv_id, turn, role, text and copies (as ``damaged`` gives).  Rows go by turn, nulls first; rows of
@@ -425,7 +425,7 @@ def repair(rows: DataFrame, ids: DataFrame) -> DataFrame:
     rows have zeros, an empty audit and the digest of nothing; so has an empty table no rows.  Long texts are compared
     by digests and read once more for the digest.  Other columns are not read.
     """
-    found = chunked(faults(rows))
+    found = chunked(faults(rows), chunk_rows)
     ends = converged(found)
     costs = ends.groupBy("conv_id").agg((F.sum("cost") + F.min_by("v0", "chunk")).alias("cost"))
     audits, fates = _traced(found, ends)
