@@ -69,12 +69,21 @@ def set_key(found: np.ndarray) -> bytes:
     return np.array([found.sum(dtype=np.uint64), mixed(found, 3).sum(dtype=np.uint64) + np.uint64(len(found))], np.uint64).tobytes()
 
 
-def parity(found: np.ndarray) -> np.ndarray:
-    """Bits of which each shingle turns one over: two sets differ in at least as many shingles as bits."""
-    odd = np.bincount((found % np.uint64(64 * WIDE)).astype(np.int64), minlength=64 * WIDE) & 1
+def parity(found: np.ndarray, wide: int = WIDE) -> np.ndarray:
+    """Bits of which each shingle turns one over: two sets differ in at least as many shingles as bits.
+
+    The bits of ``2 * wide`` longs, their second half turned over on the first, are those of ``wide``.
+    """
+    odd = np.bincount((found % np.uint64(64 * wide)).astype(np.int64), minlength=64 * wide) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def long_parity(found: np.ndarray) -> np.ndarray:
+    """Parity bits of a set for which ``WIDE`` longs say little: one to two bits for each shingle, else none."""
+    wide = 1 << max(0, int(2 * len(found) // 64).bit_length() - 1)
+    return parity(found, wide) if wide > WIDE else np.zeros(0, np.int64)
+
+
 def least_overlap(n: np.ndarray | int) -> np.ndarray | int:
     """Shingles that a set of n shares with any set similar to it."""
     return -(-n * OVER // UNDER)
@@ -99,21 +108,21 @@ def _scanned(docs: DataFrame) -> DataFrame:
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(CELLS, np.int64)
-        names = ["doc_id", "ref", "n", "key", *[f"b{i}" for i in range(WIDE)], "cells"]
+        names = ["doc_id", "ref", "n", "key", *[f"b{i}" for i in range(WIDE)], "wide", "cells"]
         for part in arrow_parts(batches):
-            size, keys, parities = [], [], []
+            size, keys, parities, wide = [], [], [], []
             for text in part.column("text"):
                 found = shingle_set(text.as_py())
                 np.add.at(seen, cells_of(found), 1)
-                size.append(len(found)), keys.append(set_key(found)), parities.append(parity(found))
+                size.append(len(found)), keys.append(set_key(found)), parities.append(parity(found)), wide.append(long_parity(found))
             columns = np.array(parities, np.int64).reshape(len(size), WIDE).T
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("ref"), pa.array(size, pa.int64()), pa.array(keys, pa.binary()), *map(pa.array, columns), pa.nulls(len(size), pa.binary())], names
+                [part.column("doc_id"), part.column("ref"), pa.array(size, pa.int64()), pa.array(keys, pa.binary()), *map(pa.array, columns), pa.array(wide, pa.list_(pa.int64())), pa.nulls(len(size), pa.binary())], names
             )
-        nothing = [pa.nulls(1, pa.int64())] * 3 + [pa.nulls(1, pa.binary())] + [pa.nulls(1, pa.int64())] * WIDE
+        nothing = [pa.nulls(1, pa.int64())] * 3 + [pa.nulls(1, pa.binary())] + [pa.nulls(1, pa.int64())] * WIDE + [pa.nulls(1, pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays([*nothing, pa.array([seen.astype("<i8").tobytes()], pa.binary())], names)
 
-    return _referred(docs).mapInArrow(scan, f"doc_id long, ref long, n long, key binary, {bits}, cells binary")
+    return _referred(docs).mapInArrow(scan, f"doc_id long, ref long, n long, key binary, {bits}, wide array<long>, cells binary")
 
 
 def _referred(docs: DataFrame) -> DataFrame:
@@ -226,6 +235,16 @@ def _few_bits(a: str, b: str, n_a: str, n_b: str):
     return differ * (UNDER + OVER) <= (F.col(n_a) + F.col(n_b)) * (UNDER - OVER)
 
 
+def _few_long_bits(a: str, b: str, n_a: str, n_b: str):
+    """The same with the longer bits of long sets, folded to the shorter length of the two; where one has none, they say nothing."""
+    length = F.least(F.size(a), F.size(b))
+    folded = lambda c: F.when(F.size(c) == length, F.col(c)).otherwise(
+        F.transform(F.sequence(F.lit(0), length - 1), lambda i: F.get(F.col(c), i).bitwiseXOR(F.get(F.col(c), i + length)))
+    )
+    differ = F.aggregate(F.zip_with(folded(a), folded(b), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return F.when(length > 0, differ * (UNDER + OVER) <= (F.col(n_a) + F.col(n_b)) * (UNDER - OVER)).otherwise(F.lit(True))
+
+
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in arrow_parts(batches):
         found = [shingle_set(text.as_py()) for text in part.column("text")]
@@ -248,9 +267,9 @@ def _sets_of(docs: DataFrame, reps: DataFrame, keys: DataFrame) -> DataFrame:
 
 def _linked(docs: DataFrame, reps: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     """Those of the distinct pairs (a, b) that are similar: parity bits first, then whole sets."""
-    side = lambda k: reps.select(F.col("key").alias(k), F.col("n").alias(f"n_{k}"), *[F.col(f"b{i}").alias(f"{k}_{i}") for i in range(WIDE)])
+    side = lambda k: reps.select(F.col("key").alias(k), F.col("n").alias(f"n_{k}"), F.col("wide").alias(f"wide_{k}"), *[F.col(f"b{i}").alias(f"{k}_{i}") for i in range(WIDE)])
     near = pairs.join(side("a"), "a").join(side("b"), "b").filter(_lengths("n_a", "n_b") & _few_bits("a_", "b_", "n_a", "n_b"))
-    near = store(near.select("a", "b"), f"{name}_near")
+    near = store(near.filter(_few_long_bits("wide_a", "wide_b", "n_a", "n_b")).select("a", "b"), f"{name}_near")
     if near.isEmpty():
         return near
     sets = store(_sets_of(docs, reps, near.select(F.explode(F.array("a", "b")).alias("key")).distinct()), f"{name}_sets")
@@ -318,10 +337,10 @@ def similar_classes(docs: DataFrame) -> DataFrame:
     table gives no rows; other columns are not read.  Shingles are compared by 64-bit hashes, classes by 128 bits.
     """
     scanned = store(_scanned(docs), "scanned")
-    rows = scanned.filter("cells IS NULL").drop("cells")
+    rows = scanned.filter("cells IS NULL")
     counts = _added(scanned.filter("cells IS NOT NULL").select("cells"))
     reps = rows.filter("n > 0").groupBy("key").agg(
-        F.min("doc_id").alias("first_id"), F.count("*").alias("members"), F.min("ref").alias("ref"), *[F.first(c).alias(c) for c in ("n", *[f"b{i}" for i in range(WIDE)])]
+        F.min("doc_id").alias("first_id"), F.count("*").alias("members"), F.min("ref").alias("ref"), *[F.first(c).alias(c) for c in ("n", "wide", *[f"b{i}" for i in range(WIDE)])]
     )
     reps = store(reps, "classes")
     lists = store(shared_postings(_referred(docs), counts), "postings")

@@ -254,6 +254,10 @@ def test_jaccard_links_equal_all_pairs(spark, monkeypatch, hot, pairs):
         docs.append(" ".join(text))
     docs += [" ".join([*passage, *draw.choice(words, int(draw.integers(0, 25)))]) for _ in range(60)]
     docs += [" ".join(draw.choice(words[:6], int(draw.integers(0, 8)))) for _ in range(60)]
+    for n in (1500, 2040, 2060, 4090, 4110):  # long texts on both sides of a change in the number of parity bits
+        text = list(draw.choice(words, n))
+        docs += [" ".join(text), " ".join([*text[: n // 2], "x", *text[n // 2 :], *draw.choice(words, int(draw.integers(0, n // 3)))])]
+        docs += [" ".join([str(draw.choice(words)) if draw.random() < share else w for w in text]) for share in (0.02, 0.021, 0.04)]
     rows = list(enumerate(docs))
     got = jaccard.similar_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(plain_classes(rows))
