@@ -79,7 +79,7 @@ def ingest_events(events: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFram
 
     placed = with_buckets(rows, buckets, keys, order, [*keys, *order, "__props"], _RECENT)
     placed = placed.withColumn(second, F.floor(F.unix_micros(TIME) / 1_000_000))
-    counts = keyed.withColumn(BUCKET, buckets.number(keyed)).withColumn(
+    counts = buckets.place(keyed).withColumn(
         second, F.floor(F.unix_micros(TIME) / 1_000_000)
     )
     # Rates travel as extra rows of their bucket, so the wide rows are shuffled once for everything below.

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrameWriter, Window, functions as F
 from ohmwatch.functions.incidents import detection_finding
 from ohmwatch.operators import iforest, knn, ordered, retrieval
 from ohmwatch.operators.quantile import exact_quantile
+from ohmwatch.session import store
 from ohmwatch.sources import published, sinks
 
 
@@ -101,5 +102,20 @@ def test_null_keys_carry_rows_over_buckets(spark):
     df = spark.range(1200).select("id", F.when(F.col("id") % 5 < 2, F.lit("k")).alias("key"), (F.col("id") % 7).cast("double").alias("v"))
     plain = df.withColumn("s", F.sum("v").over(Window.partitionBy("key").orderBy("id").rowsBetween(-3, 0)))
     windows = {"s": lambda w: F.sum("v").over(w.rowsBetween(-3, 0))}
-    got = ordered.over_order(df, windows, ["id"], keys=["key"], columns=["v"], lookback=3, bucket_rows=50)
-    assert plain.select("id", "s").exceptAll(got.select("id", "s")).count() == 0
+    for coarse in (ordered.COARSE, 4):
+        got = ordered.over_order(df, windows, ["id"], keys=["key"], columns=["v"], lookback=3, bucket_rows=50, coarse=coarse)
+        assert plain.select("id", "s").exceptAll(got.select("id", "s")).count() == 0
+
+
+def test_buckets_stay_small_however_many_there_are(spark):
+    """An order cut twice: four points in the plan, a table of cuts inside; rows per bucket do not grow with the table."""
+    windows = {"s": lambda w: F.sum("v").over(w.rowsBetween(-9, 0))}
+    for n in (4_000, 32_000):
+        df = store(spark.range(n).select("id", (F.col("id") * 7919 % 101).cast("double").alias("v")), "order")
+        buckets = ordered.cut_order(df, ["id"], bucket_rows=100, coarse=4)
+        assert len(buckets.points) <= 6 and buckets.fine is not None
+        sizes = buckets.place(df).groupBy(ordered.BUCKET).count()
+        assert sizes.agg(F.max("count")).first()[0] < 400 and sizes.count() > n / 400
+        plain = df.withColumn("s", F.sum("v").over(Window.orderBy("id").rowsBetween(-9, 0)))
+        got = ordered.over_order(df, windows, ["id"], columns=["v"], lookback=9, bucket_rows=100, coarse=4)
+        assert got.count() == n and plain.select("id", "s").exceptAll(got.select("id", "s")).count() == 0
