@@ -5,16 +5,20 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ohmwatch.operators.ordered import BUCKET_ROWS, over_order
 from ohmwatch.schema import CATEGORICAL, KEY, META, TIME
+from ohmwatch.session import BROADCAST_ROWS, store
 
 # Fixed values of the feature definitions.
 ROLLING_ROWS = 10
 STD_FLOOR = 1e-6
 FLAT_RANGE = 1e-9
 
+# Values that are numbered in one task.
+GROUP_VALUES = 50_000
+
 
 @dataclass(frozen=True)
 class Moments:
@@ -108,6 +112,38 @@ def one_hot(df: DataFrame, values: Mapping[str, Sequence[str]]) -> DataFrame:
     return df.withColumns(added).drop(*values)
 
 
+def value_table(df: DataFrame, columns: Sequence[str] = CATEGORICAL) -> DataFrame:
+    """(column, value, index): a stored table of the values seen, numbered from 0, for columns with any number of values.
+
+    Numbers run through hash groups of about ``GROUP_VALUES`` values, by the column and value within a group; only the
+    sizes of the groups are ordered in one place.
+    """
+    seen = store(categories(df, columns), "values")
+    groups = max(1, -(-seen.count() // GROUP_VALUES))
+    seen = seen.withColumn("__group", F.pmod(F.xxhash64("column", "value"), F.lit(groups)))
+    before = Window.orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = seen.groupBy(F.col("__group").alias("__of")).agg(F.count(F.lit(1)).alias("__n"))
+    bases = sizes.select("__of", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    place = F.row_number().over(Window.partitionBy("__group").orderBy("column", "value"))
+    numbered = seen.withColumn("__place", place).join(bases, F.col("__group") == F.col("__of"))
+    return store(numbered.select("column", "value", (F.col("__base") + F.col("__place") - 1).alias("index")), "value-table")
+
+
+def sparse_one_hot(df: DataFrame, values: DataFrame, columns: Sequence[str] = CATEGORICAL, name: str = "indicators") -> DataFrame:
+    """Replace the columns by one sparse vector: a struct of size, sorted indices of the indicators that are set, and ones.
+
+    ``values`` is a ``value_table``, joined by value: broadcast when it is small, else shuffled.  A null or a value
+    that the table does not have sets no indicator.
+    """
+    size = values.count()
+    for i, c in enumerate(columns):
+        own = values.where(F.col("column") == c).select(F.col("value").alias("__value"), F.col("index").alias(f"__index{i}"))
+        df = df.join(F.broadcast(own) if size <= BROADCAST_ROWS else own, F.col(c) == F.col("__value"), "left").drop("__value")
+    found = F.array_sort(F.array_compact(F.array(*[F.col(f"__index{i}") for i in range(len(columns))])))
+    vector = F.struct(F.lit(size).cast("long").alias("size"), found.alias("indices"), F.transform(found, lambda _: F.lit(1.0)).alias("values"))
+    return df.withColumn(name, vector).drop(*columns, *[f"__index{i}" for i in range(len(columns))])
+
+
 def fill_missing(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Null and NaN become 0."""
     return nan_to_null(df).fillna(0, list(columns))

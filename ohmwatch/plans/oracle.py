@@ -470,6 +470,9 @@ ORACLE: dict[str, str] = {
     "feature_matrix_with_categories": f"""WITH {MATRIX} SELECT record_id, {r6('packet_size')},
         {', '.join(f"CAST(mms_service = '{s}' AS DOUBLE) AS mms_service_{s}" for s in SERVICES)} FROM matrix""",
     "one_hot": f"WITH {TRAFFIC} SELECT record_id, {one_hot_flags()} FROM traffic",
+    "one_hot_sparse": """WITH texts AS (SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS customer, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders),
+        flat AS (SELECT o_orderkey, 'customer' AS "column", customer AS value FROM texts UNION ALL SELECT o_orderkey, 'day', day FROM texts)
+        SELECT o_orderkey, (SELECT count(DISTINCT customer) + count(DISTINCT day) FROM texts) AS size, "column", value FROM flat WHERE value IS NOT NULL""",
     "feature_meta_split": f"WITH {TRAFFIC} SELECT record_id, label, attack_type, {r6_all(RAW_NUMERIC)} FROM traffic",
     "align_columns": f"""WITH {TRAFFIC} SELECT record_id, {r6('latency_ms')}, CAST(0 AS DOUBLE) AS mms_service_unseen,
         {r6('packet_size')} FROM traffic""",

@@ -124,6 +124,17 @@ def one_hot(spark, sf_dir):
     return features.one_hot(t, features.fit_categories(t))
 
 
+@query
+def one_hot_sparse(spark, sf_dir):
+    """Indicators of a column with a value for each few rows, decoded again by the value table."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_custkey")
+    texts = orders.select("o_orderkey", F.col("o_custkey").cast("string").alias("customer"), F.col("o_orderdate").cast("date").cast("string").alias("day"))
+    values = features.value_table(texts, ["customer", "day"])
+    encoded = features.sparse_one_hot(texts, values, ["customer", "day"])
+    flat = encoded.select("o_orderkey", F.col("indicators.size").alias("size"), F.explode("indicators.indices").alias("index"))
+    return flat.join(values, "index").select("o_orderkey", "size", "column", "value")
+
+
 @query
 def feature_meta_split(spark, sf_dir):
     t = one_pass_traffic(spark, sf_dir)

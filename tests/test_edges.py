@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import DataFrameWriter, Window, functions as F
 
 from ohmwatch.functions.incidents import detection_finding
-from ohmwatch.operators import iforest, knn, ordered, retrieval
+from ohmwatch.operators import features, iforest, knn, ordered, retrieval
 from ohmwatch.operators.quantile import exact_quantile
 from ohmwatch.session import store
 from ohmwatch.sources import published, sinks
@@ -119,3 +119,16 @@ def test_buckets_stay_small_however_many_there_are(spark):
         plain = df.withColumn("s", F.sum("v").over(Window.orderBy("id").rowsBetween(-9, 0)))
         got = ordered.over_order(df, windows, ["id"], columns=["v"], lookback=9, bucket_rows=100, coarse=4)
         assert got.count() == n and plain.select("id", "s").exceptAll(got.select("id", "s")).count() == 0
+
+
+def test_many_category_values_are_encoded_without_columns(spark):
+    """A value for every row: more than the dense form takes; unseen values and nulls set nothing."""
+    df = spark.range(300_000).select("id", F.concat(F.lit("v"), "id").alias("tag"), F.when(F.col("id") % 3 > 0, (F.col("id") % 3).cast("string")).alias("kind"))
+    values = features.value_table(df, ["tag", "kind"])
+    assert values.count() == 300_002 and values.agg(F.count_distinct("index"), F.min("index"), F.max("index")).first()[:] == (300_002, 0, 300_001)
+    vectors = features.sparse_one_hot(df.union(spark.createDataFrame([(-1, "never", "1"), (-2, None, None)], "id long, tag string, kind string")), values, ["tag", "kind"])
+    assert vectors.columns == ["id", "indicators"]
+    held = {r["n"]: r["count"] for r in vectors.select(F.size("indicators.indices").alias("n")).groupBy("n").count().collect()}
+    assert held == {2: 200_000, 1: 100_001, 0: 1}
+    back = vectors.where("id = 7").select(F.explode("indicators.indices").alias("index")).join(values, "index").collect()
+    assert {(r["column"], r["value"]) for r in back} == {("tag", "v7"), ("kind", "1")}
