@@ -36,7 +36,7 @@ def _order_struct(df: DataFrame, order: Sequence[str]) -> Column:
     return F.struct(*parts)
 
 
-def _below(cuts: Column, key: Column, most: int) -> Column:
+def count_below(cuts: Column, key: Column, most: int) -> Column:
     """How many of the sorted cut points, ``most`` at most, are at or below a key, by binary search."""
     steps = [1 << i for i in reversed(range(max(1, most).bit_length()))]
     return F.aggregate(
@@ -65,7 +65,7 @@ class Buckets:
     def coarse(self, key: Column) -> Column:
         if not self.points:
             return F.lit(0)
-        return _below(F.from_json(F.lit(json.dumps(self.points)), T.ArrayType(self.point_type)), key, len(self.points))
+        return count_below(F.from_json(F.lit(json.dumps(self.points)), T.ArrayType(self.point_type)), key, len(self.points))
 
     def place(self, df: DataFrame) -> DataFrame:
         """Add ``BUCKET``, whose numbers rise with the order."""
@@ -76,7 +76,7 @@ class Buckets:
         small = self.most * (len(self.points) + 1) <= BROADCAST_ROWS
         pieced = df.withColumn("__coarse", self.coarse(key))
         joined = pieced.join(F.broadcast(cuts) if small else cuts, F.col("__coarse") == F.col("__piece"), "left")
-        inside = F.coalesce(_below(F.col(_CUTS), _order_struct(joined, self.order), self.most), F.lit(0))
+        inside = F.coalesce(count_below(F.col(_CUTS), _order_struct(joined, self.order), self.most), F.lit(0))
         number = F.shiftleft(F.col("__coarse").cast("long"), 32) + inside
         return joined.withColumn(BUCKET, number).drop("__coarse", "__piece", _CUTS)
 

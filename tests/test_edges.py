@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import DataFrameWriter, Window, functions as F
 
 from ohmwatch.functions.incidents import detection_finding
-from ohmwatch.operators import features, iforest, knn, ordered, retrieval
+from ohmwatch.operators import features, iforest, knn, ordered, quantile, retrieval
 from ohmwatch.operators.quantile import exact_quantile
 from ohmwatch.session import store
 from ohmwatch.sources import published, sinks
@@ -132,3 +132,18 @@ def test_many_category_values_are_encoded_without_columns(spark):
     assert held == {2: 200_000, 1: 100_001, 0: 1}
     back = vectors.where("id = 7").select(F.explode("indicators.indices").alias("index")).join(values, "index").collect()
     assert {(r["column"], r["value"]) for r in back} == {("tag", "v7"), ("kind", "1")}
+
+
+def test_quantile_of_values_of_all_scales_takes_few_passes(spark, monkeypatch):
+    """Values over 600 powers of ten, most rows one value, and weights: the same as sorting, in a handful of passes."""
+    draw = np.random.default_rng(9)
+    values = np.concatenate([10.0 ** draw.uniform(-300, 300, 6000), np.full(3000, 1e-5), -(10.0 ** draw.uniform(-300, 300, 1000))])
+    df = store(spark.createDataFrame([(float(v), int(w)) for v, w in zip(values, draw.integers(1, 4, len(values)))], "x double, w long"), "scales")
+    passes = []
+    real = quantile.F.percentile_approx
+    monkeypatch.setattr(quantile.F, "percentile_approx", lambda *a: passes.append(1) or real(*a))
+    whole = np.repeat(*map(np.array, zip(*[(r["x"], r["w"]) for r in df.collect()])))
+    for q in (0.01, 0.35, 0.5, 0.99):
+        passes.clear()
+        assert exact_quantile(df, "x", q, weight="w", builtin_rows=0) == pytest.approx(np.quantile(whole, q), rel=1e-12)
+        assert len(passes) <= 3
