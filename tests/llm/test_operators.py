@@ -235,16 +235,6 @@ def test_context_tree(awkward, empty):
     count = Counter(w for t in train for w in [*words(t), None])
     n, v = sum(count.values()), len(count)
     text = {k: t for k, t, *_ in AWKWARD}
-    # A plain tree: counts of bits in every context, and the weighting from the deepest level up.
-    seen = defaultdict(lambda: [0, 0])
-    for t in train:
-        data = bytes([255]) * 5 + (t or "").encode().lower() + b"\xff"
-        if len(data) > 10_000:
-            continue
-        for i in range(5, len(data)):
-            for d in range(6):
-                for k in range(8):
-                    seen[data[i - d : i], (1 << k) | data[i] >> (8 - k)][data[i] >> (7 - k) & 1] += 1
     assert len(rows) == len(AWKWARD)
     for r in rows:
         w = [*words(text[r.doc_id]), None]
