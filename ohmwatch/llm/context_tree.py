@@ -16,6 +16,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -248,6 +249,15 @@ def block_counter(bins: int):
         block = key[0].as_py()
         words: Counter = Counter()
         grams = Counts()
+        waiting: dict[bool, list[np.ndarray]] = {True: [], False: []}
+        size = 0
+
+        def settle() -> None:
+            for held_out, parts in waiting.items():
+                if parts:  # plain sorting is many times faster than a merge with places
+                    found, ns = np.unique(np.concatenate(parts), return_counts=True)
+                    grams.add(found, ns * (not held_out))
+                    parts.clear()
 
         def out(rows: dict, size: int) -> pa.RecordBatch:
             kinds = {"block": pa.int32(), "bin": pa.int32(), "size": pa.int32(), "grams": pa.binary(), "ns": pa.binary(), "word": pa.binary(), "n": pa.int64()}
@@ -279,9 +289,14 @@ def block_counter(bins: int):
                     if len(words) >= FULL:
                         yield words_out()
                 for code in codes(text):
-                    grams.add(code, np.full(len(code), 0 if held_out else 1, np.int64))
-                    if len(grams.grams) >= FULL:
-                        yield grams_out()
+                    waiting[held_out].append(code)
+                    size += len(code)
+                    if size >= SLICE:
+                        settle()
+                        size = 0
+                        if len(grams.grams) >= FULL:
+                            yield grams_out()
+        settle()
         grams.merge()
         if len(grams.grams):
             yield grams_out()
@@ -339,21 +354,38 @@ def scores(docs: DataFrame, divisor: int = 7, left_out: int = 2, block_bytes: in
         known = dict(zip(model["word"].filter(of_word).to_pylist(), np.log10(model["n"].filter(of_word).to_numpy() + 1.0).tolist()))
         parts = [_read(batch, i, "logp", np.float32) for batch in model.filter(pc.is_valid(model["grams"])).to_batches() for i in range(len(batch))]
         gram, logp = (np.concatenate(p) for p in zip(*parts))
-        parts.clear()
-        order = np.argsort(gram)
-        gram, logp = gram[order], logp[order]
-        out = []
-        for text in texts["text"]:
+        del parts
+        gram, first = np.unique(gram, return_index=True)  # a block with partial counts has some grams twice
+        logp, index = logp[first], pd.Index(gram)
+        whole, length = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        waiting: list[tuple[int, np.ndarray]] = []
+
+        def settle() -> None:
+            if waiting:
+                sizes = [len(code) for _, code in waiting]
+                values = logp[index.get_indexer(np.concatenate([code for _, code in waiting]))].astype(float)
+                at = [i for i, _ in waiting]
+                np.add.at(whole, at, np.add.reduceat(values, np.cumsum([0, *sizes[:-1]])))
+                np.add.at(length, at, sizes)
+                waiting.clear()
+
+        out, size = [], 0
+        for i, text in enumerate(texts["text"]):
             text = text.as_py()
-            count, sure, base, whole, length = 1, int(n_train > 0), np.log10(n_train + 1.0), 0.0, 0
+            count, sure, base = 1, int(n_train > 0), np.log10(n_train + 1.0)
             for run in word_runs(text):
                 value = np.fromiter(map(known.__getitem__, run), float, len(run))
                 count, sure, base = count + len(run), sure + int(np.count_nonzero(value)), base + value.sum()
             for code in codes(text):
-                whole, length = whole + logp[np.searchsorted(gram, code)].sum(dtype=np.float64), length + len(code)
-            out.append((count, sure, n_tokens, float(base - count * np.log10(n_tokens + vocabulary + 1)), float(whole), float(-whole * np.log2(10) / length)))
-        names = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
-        return pa.table({"doc_id": texts["doc_id"], "held_out": texts["held_out"]} | dict(zip(names, map(pa.array, zip(*out)))))
+                waiting.append((i, code))
+                size += len(code)
+                if size >= SLICE:
+                    settle()
+                    size = 0
+            out.append((count, sure, n_tokens, float(base - count * np.log10(n_tokens + vocabulary + 1))))
+        settle()
+        found = dict(zip(["n_tokens", "n_known", "train_tokens", "base_score"], map(pa.array, zip(*out))))
+        return pa.table({"doc_id": texts["doc_id"], "held_out": texts["held_out"]} | found | {"score": whole, "bits_per_byte": -whole * np.log2(10) / length})
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
     return named.groupBy("block").cogroup(need.groupBy("block")).applyInArrow(score_block, schema)
