@@ -46,9 +46,10 @@ RULES = (
 #: a sentence that was wrapped or has a full stop inside stand side by side and are matched together.
 SPLIT = r"[.!?:]*[\x20\x09-\x0D]*\n+|[.!?][\x20\x09-\x0D]+"
 _NOT_PLAIN = "[^A-Za-z0-9]+"
-#: Lines may begin with comment prefixes made of letters; other prefixes are not words.
+#: Lines may begin with comment prefixes made of letters; other prefixes are not words.  The runs are possessive, so
+#: matching them takes no stack, and start only where the line before is no bare prefix, so each is read once.
 _MARKED = r"(?:\n(?:dnl|rem)(?=[ \n]))"
-_GAP = rf"(?:{_MARKED}*[ \n])"
+_GAP = rf"(?:{_MARKED}*+[ \n])"
 
 
 def _plain(sentence: str) -> str:
@@ -61,7 +62,7 @@ def plain(sentence: str) -> str:
 
 def _pattern(known: list[str]) -> str:
     """The known sentences in whole pieces, one to a line, longest first; each word may begin a new piece."""
-    return rf"(?:{_MARKED}+[ \n]|\n)(?:" + "|".join(k.replace(" ", _GAP) for k in sorted(known, key=lambda k: (-len(k), k))) + r")(?=\n)"
+    return rf"(?:(?<!\n(?:dnl|rem)){_MARKED}++[ \n]|\n)(?:" + "|".join(k.replace(" ", _GAP) for k in sorted(known, key=lambda k: (-len(k), k))) + r")(?=\n)"
 
 
 def _run(ids: tuple[int, ...]) -> str:
@@ -76,12 +77,14 @@ def licences(docs: DataFrame, sentences: dict[int, str] = SENTENCES, rules: tupl
     document's known sentences in order form a run like <1><5>.  Rules are tried in order; each takes its
     identifiers out wherever they stand side by side, and names a licence.  sentence_ids is the whole run, licences
     the names in rule order, joined by commas, empty if no rule fits.  n_other counts the remaining pieces with
-    the word license or licence.  Rows that repeat an id and a text count once; null and empty texts give no row.
+    the word license or licence.  Rows that repeat an id and a text count once; null and empty texts and empty tables
+    give no row.  Long runs of blanks, dots or comment prefixes take time in proportion and no stack.
     """
     ids = {plain(s): i for i, s in sentences.items()}
     pattern = F.lit(_pattern(list(ids)))
     # One piece to a line, its words parted by single blanks, with a line break before and after each.
-    lines = F.regexp_replace(F.regexp_replace("text", SPLIT, "\n"), r"[^A-Za-z0-9\n]+", " ")
+    # Punctuation goes anyway, so a full stop and one blank are enough to cut, which is linear in the text.
+    lines = F.regexp_replace(F.regexp_replace("text", r"[.!?][\x20\x09-\x0D]", "\n"), r"[^A-Za-z0-9\n]+", " ")
     lines = F.regexp_replace(F.concat(F.lit("\n"), F.lower(lines), F.lit("\n")), r" ?\n[ \n]*", "\n")
     rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), lines.alias("lines"))
     identifier = F.create_map(*[x for known, i in ids.items() for x in (F.lit(known), F.lit(i))])

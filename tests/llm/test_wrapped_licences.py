@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import textwrap
+import time
 
 import pytest
 
@@ -36,3 +37,12 @@ def test_what_stands_beside_a_known_sentence_still_counts(spark):
     docs = spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0])], "doc_id long, text string")
     rows = sorted((r.doc_id, r.sentence_ids, r.n_known, r.n_other) for r in licences.licences(docs).collect())
     assert rows == [(0, "<1>", 1, 0), (1, "", 0, 3), (2, "<1><1>", 2, 0), (3, "", 0, 1)]
+
+
+@pytest.mark.parametrize("filler", ["\nrem" * 30_000, "\ndnl rem\nrem dnl" * 10_000, " " * 1_000_000, "." * 1_000_000, " .\t" * 300_000, "\n" * 1_000_000, "\n \n." * 250_000])
+def test_long_runs_take_no_stack_and_little_time(spark, filler):
+    text = f"before{filler}\n{S[1]}{filler}\n{S[10]}.{filler}\nafter"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.perf_counter()
+    rows = [(r.sentence_ids, r.licences) for r in licences.licences(docs).collect()]
+    assert rows == [("<1><10>", "MIT,Apache-2.0")] and time.perf_counter() - start < 20
