@@ -5,6 +5,9 @@ from __future__ import annotations
 import textwrap
 import time
 
+import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 from ohmwatch.llm import licences
@@ -46,3 +49,36 @@ def test_long_runs_take_no_stack_and_little_time(spark, filler):
     start = time.perf_counter()
     rows = [(r.sentence_ids, r.licences) for r in licences.licences(docs).collect()]
     assert rows == [("<1><10>", "MIT,Apache-2.0")] and time.perf_counter() - start < 20
+
+
+def test_query_and_sql_agree_on_wrapped_texts(spark):
+    """Whole, wrapped, overlapping and broken sentences: the scan and its SQL find the same runs and licences."""
+    draw = np.random.default_rng(9)
+    sentences, texts = list(S.values()), [MIT.replace("{0}", ""), BSD, APACHE, GPL, MPL]
+    rows = [(wrapped(t, w, p),) for t in texts for w, p in ((75, ""), (40, " * "), (60, "dnl "), (30, "rem "))]
+    for _ in range(300):
+        parts = []
+        for _ in range(int(draw.integers(1, 6))):
+            words = sentences[int(draw.integers(len(sentences)))].split(" ")
+            if draw.random() < 0.3:  # a beginning or an end only
+                words = words[: int(draw.integers(1, len(words) + 1))] if draw.random() < 0.5 else words[int(draw.integers(len(words))) :]
+            gaps = draw.choice([" ", "  ", "\n", "\nrem ", "\n * ", "\n\nrem\ndnl "], len(words), p=[0.82, 0.02, 0.07, 0.03, 0.04, 0.02])
+            parts.append("".join(w + g for w, g in zip(words, gaps)) + str(draw.choice([".", "", "!", " licence", ". "])))
+        rows.append((str(draw.choice(["\n", " ", "\n# "])).join(parts),))
+    rows += [(None,), ("",), ("rem license",), ("a\nrem\n" + S[1] + "\nrem",), (rows[0][0],)]
+    frame = pd.DataFrame({"doc_id": range(len(rows)), "text": [r[0] for r in rows]})
+    columns = ["doc_id", "sentence_ids", "licences", "n_known", "n_other"]
+    found = [tuple(r) for r in licences.licences(spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "doc_id long, text string")).select(columns).collect()]
+    with duckdb.connect() as db:
+        db.register("documents", frame)
+        expected = db.sql(licences.OP6_SQL).select(*columns).fetchall()
+    assert sorted(found) == sorted(expected) and len(found) > 280 and sum(r[3] > 1 for r in found) > 100
+
+
+def test_every_known_sentence_and_rule_is_found(spark):
+    docs = spark.createDataFrame([(i, f"Some words.\n{wrapped(s, 50, '# ')}.\nMore") for i, s in S.items()], "doc_id long, text string")
+    rows = {r.doc_id: r for r in licences.licences(docs).collect()}
+    assert all(rows[i].sentence_ids == f"<{i}>" for i in S)
+    runs = spark.createDataFrame([(n, "\n\n".join(S[i] for i in ids)) for n, (_, ids) in enumerate(licences.RULES)], "doc_id long, text string")
+    names = {r.doc_id: r.licences.split(",") for r in licences.licences(runs).collect()}
+    assert all(name in names[n] for n, (name, _) in enumerate(licences.RULES)) and len({name for name, _ in licences.RULES}) >= 30
