@@ -105,7 +105,9 @@ def slots(targets: DataFrame, seed: int = 0) -> DataFrame:
     before = F.coalesce(F.sum(F.col("needed") - F.col("got")).over(W.orderBy("rank").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     closing = closing.withColumn("before", before).select("rank", "got", "before", F.explode(F.sequence(F.col("got"), F.col("needed") - 1)).alias("slot"))
     closing = closing.select((F.lit(shards) + F.floor((F.col("before") + F.col("slot") - F.col("got")) / SHARD)).cast("long").alias("shard"), "rank", "slot")
-    taken = counts.select("shard", "rank", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot")).unionByName(closing)
+    # The counts are small but their slots are not: deal them out by number, about 64 shards a task.
+    dealt = counts.repartition(max(1, -(-shards // 64)), "rank", "shard")
+    taken = dealt.select("shard", "rank", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot")).unionByName(closing)
     numbered = taken.join(plan, "rank").filter("slot < needed")
     turn, place = F.floor(F.col("slot") / F.col("per_pass")), F.col("slot") % F.col("per_pass")
     block = F.when(place < F.col("full"), permuted(place, F.greatest("full", F.lit(1)), F.lit(seed), F.col("rank"), turn)).otherwise(F.col("full"))
