@@ -189,21 +189,23 @@ def cells_of(bits: np.ndarray) -> np.ndarray:
 
 
 def wide_fingerprints(docs: DataFrame) -> DataFrame:
-    """key, doc_id, full, cells: 256 bits over five-word shingles, and the table cells of 256 bits over two-word shingles.
+    """key, doc_id, fp, full, cells: the fingerprint, 256 bits over five-word shingles, and the table cells of 256 bits over two-word shingles.
 
-    key is a hash of id and text.
+    key is a hash of id and text; fp is what ``fingerprints`` gives.
     """
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in arrow_parts(batches):
             texts, columns = part.column("text").to_pylist(), [part.column("key"), part.column("doc_id")]
             near, full = [2 * ones > total[:, None] for ones, total in (texts_bits(texts, size, WIDE) for size in (CANDIDATE_SHINGLE, SHINGLE))]
+            ones, total = texts_bits(texts, 3)
+            columns.append(pa.array(np.packbits(2 * ones > total[:, None], axis=1, bitorder="little").view("<i8").ravel()))
             for rows in (np.packbits(full, axis=1, bitorder="little").view("<i8"), cells_of(near)):
                 columns.append(pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, rows.shape[1]), pa.int32()), pa.array(rows.ravel())))
-            yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "full", "cells"])
+            yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "fp", "full", "cells"])
 
     rows = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(scan, "key long, doc_id long, full array<long>, cells array<int>")
+    return rows.mapInArrow(scan, "key long, doc_id long, fp long, full array<long>, cells array<int>")
 
 
 def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -309,18 +311,31 @@ def similar_links(prints: DataFrame, similarity: float, most: int = CELL) -> Dat
     return pairs.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def print_links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
+    """a, b: links that connect all keys whose fingerprints ``fp`` are equal or differ in at most ``max_bits`` bits.
+
+    The smallest key of a fingerprint stands for it: other keys hang on it, and it carries the links of ``links_within``.
+    """
+    firsts = store(prints.groupBy("fp").agg(F.min("key").alias("first"), F.count("*").alias("n")), "prints")
+    copies = prints.join(firsts.filter("n > 1").withColumnRenamed("fp", "_fp"), F.col("fp") == F.col("_fp")).filter("key != first").select(F.col("first").alias("a"), F.col("key").alias("b"))
+    links = links_within(firsts.select("fp"), max_bits).distinct()
+    for end in ("a", "b"):
+        links = links.join(firsts.select(F.col("fp").alias(end), F.col("first").alias(f"_{end}")), end)
+    return links.select(F.col("_a").alias("a"), F.col("_b").alias("b")).unionByName(copies)
+
+
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """One document of each group of near duplicates, all columns as they were: the one with the smallest id.
 
-    Texts are near duplicates when the fingerprints of their five-word shingles say that the resemblance is about
-    ``similarity`` or more; groups are linked by such pairs.  Null and blank texts are one group.  Repeated rows
-    fall to one first.  An empty table stays empty.
+    Texts are near duplicates when they are linked as in ``near_components``, which misses none, or when the fingerprints
+    of their five-word shingles say that the resemblance is about ``similarity`` or more; groups are linked by both.
+    Null and blank texts are one group.  Repeated rows fall to one first.  An empty table stays empty.
     """
     prints = store(wide_fingerprints(docs), "wide")
     if not prints.groupBy("key").count().filter("count > 1").isEmpty():
         docs = drop_duplicates(docs)
         prints = store(wide_fingerprints(docs), "wide")
-    found = roots(similar_links(prints, similarity))
+    found = roots(print_links(prints).unionByName(similar_links(prints, similarity)))
     grouped = prints.select("key", "doc_id").join(found, F.col("key") == F.col("node"))
     kept = grouped.groupBy("root").agg(F.min_by("key", F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("_kept"))
     gone = grouped.join(kept, "root").filter(F.col("key") != F.col("_kept")).select(F.col("key").alias("_gone"))

@@ -65,3 +65,34 @@ def test_recall_does_not_depend_on_the_number_of_documents():
         shared = (simhash.cells_of(near) == simhash.cells_of(other)).any(axis=1).mean()
         assert abs(shared - simhash.recall(bits)) < 0.01
     assert simhash.recall(15) == 1 and simhash.recall(24) > 0.9999 and simhash.recall(39) > 0.98
+
+
+def test_the_stage_drops_what_the_operator_links(spark):
+    """One three-word shingle multiset in several orders: equal fingerprints, but five-word shingles that say the texts differ."""
+    draw = np.random.default_rng(5)
+    rows = []
+    for group in range(6):
+        between = [f"g{group}w{i}" for i in range(24)]
+        for copy in range(3):
+            order = draw.permutation(between)
+            rows.append((100 * group + copy, " ".join(["x y", *[f"{w} x y" for w in order]]), "s"))
+    rows += [(9001, None, "s"), (9002, " \n", "s"), (None, rows[0][1] + " end", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r.doc_id: r.component_id for r in simhash.near_components(docs).collect()}
+    assert all(found[100 * group + copy] == 100 * group for group in range(6) for copy in range(3))
+    kept = [r.doc_id for r in simhash.drop_near_duplicates(docs).collect()]
+    assert {d for d in kept if d is not None} == {100 * group for group in range(6)} | {9001}
+
+
+def test_print_links_are_all_pairs_within_two_bits(spark):
+    draw = np.random.default_rng(9)
+    prints = [int(x) for x in draw.integers(-(2**63), 2**63, 30)]
+    for i in range(60):
+        flips = draw.choice(64, draw.integers(0, 5), replace=False)
+        value = (prints[i] % 2**64) ^ sum(1 << int(f) for f in flips)
+        prints.append(value - 2**64 if value >= 2**63 else value)
+    keys = [int(k) for k in draw.permutation(5_000)[: len(prints)]]
+    rows = spark.createDataFrame([*zip(keys, prints)], "key long, fp long")
+    near = [(keys[i], keys[j]) for i in range(len(keys)) for j in range(i) if ((prints[i] ^ prints[j]) % 2**64).bit_count() <= 2]
+    got = [(r.a, r.b) for r in simhash.print_links(rows).collect()]
+    assert groups(got, keys) == groups(near, keys)
