@@ -142,3 +142,25 @@ def test_text_folder(spark, tmp_path):
     (tmp_path / "c.md").write_text("no")
     rows = {d["source"]: d["text"] for d in read_text_folder(spark, str(tmp_path)).collect()}
     assert rows == {"a.txt": "one", "b.txt": "two\nlines"}
+
+
+def test_texts_are_weighed_where_they_lie(spark):
+    """No shuffle when keys are unique; texts with the same keys, null ones too, stay one vector."""
+    rows = [(i, 0, "t", f"alpha beta{i % 7} alpha gamma{i % 3}") for i in range(60)] + [(100, 0, "t", "!"), (101, 0, "t", None)]
+    schema = "doc_id long, chunk_no int, source string, text string"
+    texts = store(r.counted(spark.createDataFrame(rows, schema)), "texts")
+    terms = store(r.vocabulary(texts, 8), "terms")
+    found = r.weigh(texts, terms, r.CHUNK_KEY)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+    def whole(frame):
+        joined = frame.select(*r.CHUNK_KEY, F.inline("counts")).join(terms.select("term", "term_id", "idf"), "term")
+        gathered = r.unit_terms(joined.select(*r.CHUNK_KEY, "term_id", (F.col("tf") * F.col("idf")).alias("w")), r.CHUNK_KEY)
+        return {(row.doc_id, row.chunk_no): [(t.term_id, round(t.weight, 9)) for t in row.terms] for row in gathered.collect()}
+
+    def got(frame):
+        return {(row.doc_id, row.chunk_no): [(t.term_id, round(t.weight, 9)) for t in row.terms] for row in frame.collect()}
+
+    assert got(found) == whole(texts) and len(whole(texts)) == 60
+    again = store(r.counted(spark.createDataFrame([*rows, (3, 0, "t", "alpha beta1 beta1"), (None, 0, "t", "alpha"), (None, 0, "t", "beta2")], schema)), "again")
+    assert got(r.weigh(again, terms, r.CHUNK_KEY)) == whole(again) and len(whole(again)) == 61
