@@ -16,10 +16,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ohmwatch.llm.common import arrow_parts, store, table, word_runs
 from ohmwatch.llm.components import roots
+from ohmwatch.session import small_or_stored
 
 SHINGLE = 5
 #: Least similarity, as a fraction of whole numbers: the pair is compared in integers.
@@ -188,7 +189,10 @@ def _postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
 
 
 def _met_again(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of postings sorted by token and key, those whose token has another key; repeated ones once."""
+    """Of postings sorted by token and key, those whose token has another key; repeated ones once.
+
+    ``held`` is the number of keys met with the token; a list that goes on in the next batch is counted in parts.
+    """
     held: pa.Table | None = None
     for batch in batches:
         rows = pa.Table.from_batches([batch])
@@ -207,6 +211,8 @@ def _met_again(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked |= again
         marked[:-1] |= again[1:]
         rows = rows.set_column(rows.schema.get_field_index("more"), rows.schema.field("more"), pa.array(marked))
+        run = np.cumsum(~again) - 1
+        rows = rows.set_column(rows.schema.get_field_index("held"), rows.schema.field("held"), pa.array(np.maximum(2, np.bincount(run)[run]).astype(np.int32)))
         held = rows.slice(rows.num_rows - 1)
         yield from rows.slice(0, rows.num_rows - 1).filter(pa.array(marked[:-1])).combine_chunks().to_batches()
     if held is not None and held.num_rows:
@@ -214,14 +220,25 @@ def _met_again(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shared_postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """token, key, n, least: prefix postings, each once, of tokens that several documents have in their prefix.
+    """token, key, n, least, hot, held: prefix postings, each once, of tokens that several documents have in their prefix.
 
-    The list of a token expected in many documents is dealt out by key and kept as it is.
+    The list of a token expected in many documents (``hot``) is dealt out by key and kept as it is.
     """
     salt = F.when(F.col("hot"), F.xxhash64("key")).otherwise(F.lit(0))
-    rows = _postings(docs, counts).select("token", "key", "n", "least", F.col("hot").alias("more"))
+    rows = _postings(docs, counts).withColumn("held", F.lit(2)).withColumn("more", F.col("hot"))
     dealt = rows.repartition("token", salt).sortWithinPartitions("token", "key")
-    return dealt.mapInArrow(_met_again, "token long, key binary, n int, least int, more boolean").drop("more")
+    return dealt.mapInArrow(_met_again, "token long, key binary, n int, least int, hot boolean, held int, more boolean").drop("more")
+
+
+def _members(reps: DataFrame, postings: DataFrame) -> DataFrame:
+    """token, key, n, least, hot, central: the postings with the short numbers of classes for keys, shuffled once for it.
+
+    Postings shared with many others make a good pivot, a central one: the text that the others of a group were made from.
+    """
+    length = F.floor((F.col("n") * (UNDER - OVER)) / UNDER) + F.col("least")
+    central = F.sum(F.log("held") / length).over(Window.partitionBy("key")).cast("float")
+    numbered = postings.join(reps.select("key", "num"), "key").withColumn("central", central)
+    return numbered.select("token", F.col("num").alias("key"), "n", "least", "hot", "central")
 
 
 def _lengths(a: str, b: str):
@@ -248,26 +265,29 @@ def _few_long_bits(a: str, b: str, n_a: str, n_b: str):
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in arrow_parts(batches):
         found = [shingle_set(text.as_py()) for text in part.column("text")]
+        own = [set_key(one) == key.as_py() for one, key in zip(found, part.column("key"))]  # not another text with the same ref
+        found = [one for one, right in zip(found, own) if right]
         ends = np.cumsum([0, *map(len, found)])
         values = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(map(set_key, found)), pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))], ["key", "tokens"])
+        yield pa.RecordBatch.from_arrays([part.column("num").filter(pa.array(own, pa.bool_())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))], ["key", "tokens"])
 
 
 def _sets_of(docs: DataFrame, reps: DataFrame, keys: DataFrame) -> DataFrame:
-    """key, tokens: the whole shingle sets of some keys, made from the text of one row of each.
+    """key, tokens: the whole shingle sets of some classes, named by number, made from the text of one row of each.
 
     Rows that cannot be wanted are taken out by a filter of at most ``SLOTS`` places before texts are shuffled.
     """
-    wanted = store(reps.select("key", "ref").join(keys, "key", "left_semi").select(F.col("ref").alias("_ref")).distinct(), "wanted")
+    wanted = reps.join(keys, F.col("num") == keys["key"], "left_semi").select("num", F.col("key").alias("key"), F.col("ref").alias("_ref"))
+    wanted = store(wanted, "wanted")
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
     slots = F.broadcast(wanted.select(slot("_ref").alias("_slot")).distinct())
     thinned = _referred(docs).select("ref", "text").withColumn("_slot", slot("ref")).join(slots, "_slot", "left_semi")
-    return thinned.join(wanted, F.col("ref") == F.col("_ref"), "left_semi").select("text").mapInArrow(_sets, "key binary, tokens array<long>")
+    return thinned.join(wanted, F.col("ref") == F.col("_ref")).select("text", "key", "num").mapInArrow(_sets, "key long, tokens array<long>")
 
 
 def _linked(docs: DataFrame, reps: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     """Those of the distinct pairs (a, b) that are similar: parity bits first, then whole sets."""
-    side = lambda k: reps.select(F.col("key").alias(k), F.col("n").alias(f"n_{k}"), F.col("wide").alias(f"wide_{k}"), *[F.col(f"b{i}").alias(f"{k}_{i}") for i in range(WIDE)])
+    side = lambda k: reps.select(F.col("num").alias(k), F.col("n").alias(f"n_{k}"), F.col("wide").alias(f"wide_{k}"), *[F.col(f"b{i}").alias(f"{k}_{i}") for i in range(WIDE)])
     near = pairs.join(side("a"), "a").join(side("b"), "b").filter(_lengths("n_a", "n_b") & _few_bits("a_", "b_", "n_a", "n_b"))
     near = store(near.filter(_few_long_bits("wide_a", "wide_b", "n_a", "n_b")).select("a", "b"), f"{name}_near")
     if near.isEmpty():
@@ -278,8 +298,39 @@ def _linked(docs: DataFrame, reps: DataFrame, pairs: DataFrame, name: str) -> Da
     return store(shared.filter(F.col("common") * UNDER >= (F.col("sizes") - F.col("common")) * OVER).select("a", "b").distinct(), f"{name}_links")
 
 
+def _pivots(now: DataFrame, crowded: bool) -> DataFrame:
+    """``now`` with ``p``: the most central member of the list that is outside its largest component.
+
+    A list is gathered in one task, but for hot ones, whose pivots are aggregated and joined.
+    """
+    who, rank = F.struct("key", "root", "n"), F.struct("central", "key")
+    minor = F.col("major").isNull() | (F.col("root") != F.col("major"))
+    placed = now.withColumn("place", F.when(F.col("hot"), F.xxhash64("key")).otherwise(F.lit(0)))
+    placed = placed.withColumn("p", F.max_by(who, F.when(minor, rank)).over(Window.partitionBy("token", "place")))
+    if not crowded:
+        return placed
+    most = small_or_stored(now.filter(F.col("hot") & minor).groupBy("token").agg(F.max_by(who, rank).alias("hot_p")), "pivots")
+    return placed.join(most, "token", "left").withColumn("p", F.when(F.col("hot"), F.col("hot_p")).otherwise(F.col("p")))
+
+
+def _open(now: DataFrame, crowded: bool) -> DataFrame:
+    """The rows of lists with several components: ``major`` is the largest one, ``apart`` the number of members outside it."""
+    now = store(now, "lists") if crowded else now
+    one = Window.partitionBy("token", "place")
+    placed = now.withColumn("place", F.when(F.col("hot"), F.xxhash64("key")).otherwise(F.lit(0))).repartition("token", "place")
+    placed = placed.withColumn("alike", F.count("*").over(Window.partitionBy("token", "place", "root")))
+    placed = placed.withColumn("total", F.count("*").over(one)).withColumn("best", F.max(F.struct("alike", "root")).over(one))
+    if crowded:
+        held = now.filter("hot").groupBy("token", "root").agg(F.count("*").alias("alike"))
+        held = held.groupBy("token").agg(F.sum("alike").alias("hot_total"), F.max(F.struct("alike", "root")).alias("hot_best"))
+        placed = placed.join(small_or_stored(held, "crowds"), "token", "left")
+        placed = placed.withColumns({c: F.when(F.col("hot"), F.col(f"hot_{c}")).otherwise(F.col(c)) for c in ("total", "best")})
+    rows = placed.filter(F.col("best.alike") < F.col("total")).withColumn("major", F.col("best.root"))
+    return rows.select("token", "key", "n", "least", "hot", "central", "root", "major", (F.col("total") - F.col("best.alike")).alias("apart"))
+
+
 def links(docs: DataFrame, reps: DataFrame, lists: DataFrame) -> DataFrame:
-    """a, b: similar sets that connect all sets which are connected by similarity.
+    """a, b: similar sets, by the numbers of their classes, that connect all sets which are connected by similarity.
 
     Pairs within a list grow with its square, and most of them connect what is connected already.  So each list first
     compares its members with one of them, the pivot: the one whose postings most others share.  In further rounds the members outside the list's largest
@@ -288,16 +339,11 @@ def links(docs: DataFrame, reps: DataFrame, lists: DataFrame) -> DataFrame:
     connection is lost; they alone need the number of matches, as a pivot sees only some lists of a pair.
     """
     budget = PAIRS * lists.count()
-    # Postings shared with many others make a good pivot: the text that the others of a group were made from.
-    length = F.floor((F.first("n") * (UNDER - OVER)) / UNDER) + F.first("least")
-    sizes = lists.groupBy("token").agg(F.count("*").alias("held"))
-    central = lists.join(sizes, "token").groupBy("key").agg((F.sum(F.log("held")) / length).alias("central"))
-    now = lists.join(central, "key").withColumn("root", F.col("key")).withColumn("major", F.lit(None).cast("binary"))
+    crowded = not lists.filter("hot").isEmpty()
+    now = lists.withColumn("root", F.col("key")).withColumn("major", F.lit(None).cast("long"))
     found = None
     while True:
-        minor = now.filter(F.col("major").isNull() | (F.col("root") != F.col("major")))
-        pivots = minor.groupBy("token").agg(F.max_by(F.struct("key", "root", "n"), F.struct("central", "key")).alias("p"))
-        met = now.join(pivots, "token").filter((F.col("root") != F.col("p.root")) & _lengths("n", "p.n"))
+        met = _pivots(now, crowded).filter((F.col("root") != F.col("p.root")) & _lengths("n", "p.n"))
         met = store(met.select(F.least("key", "p.key").alias("a"), F.greatest("key", "p.key").alias("b")).distinct(), "met")
         fresh = _linked(docs, reps, met, "pivot")
         new = not fresh.isEmpty()
@@ -305,18 +351,15 @@ def links(docs: DataFrame, reps: DataFrame, lists: DataFrame) -> DataFrame:
         if new or found is fresh:
             label = store(roots(found), "label").withColumnRenamed("node", "key")
             now = now.drop("root", "major").join(label, "key", "left").withColumn("root", F.coalesce("root", "key"))
-            now = store(now, "lists")
-            held = now.groupBy("token", "root").agg(F.count("*").alias("held"))
-            sizes = held.groupBy("token").agg(F.max_by("root", F.struct("held", "root")).alias("major"), F.max("held").alias("most"), F.sum("held").alias("total"))
-            sizes = store(sizes.filter("most < total"), "open")
-            now = store(now.join(sizes.select("token", "major"), "token"), "lists")
-            pairs = sizes.agg(F.sum((F.col("total") - F.col("most")) * F.col("total"))).first()[0] or 0
+            now = store(_open(now, crowded), "open")
+            pairs = now.agg(F.sum("apart")).first()[0] or 0
+            now = now.drop("apart")
         if not pairs:
             return found
         if not new or pairs <= budget:
             break
     bits = [F.col(f"b{i}") for i in range(WIDE)]
-    full = store(now.join(reps.select("key", *bits), "key"), "members")
+    full = store(now.join(reps.select(F.col("num").alias("key"), *bits), "key"), "members")
     one = full.filter("root != major").select("token", *[F.col(c).alias(f"o_{c}") for c in ("key", "n", "least", "root")], *[F.col(f"b{i}").alias(f"x{i}") for i in range(WIDE)])
     pairs = full.join(one, "token").filter(
         (F.col("root") != F.col("o_root")) & ((F.col("root") == F.col("major")) | (F.col("key") < F.col("o_key"))) & _lengths("n", "o_n") & _few_bits("b", "x", "n", "o_n")
@@ -342,13 +385,13 @@ def similar_classes(docs: DataFrame) -> DataFrame:
     reps = rows.filter("n > 0").groupBy("key").agg(
         F.min("doc_id").alias("first_id"), F.count("*").alias("members"), F.min("ref").alias("ref"), *[F.first(c).alias(c) for c in ("n", "wide", *[f"b{i}" for i in range(WIDE)])]
     )
-    reps = store(reps, "classes")
-    lists = store(shared_postings(_referred(docs), counts), "postings")
+    reps = store(reps.withColumn("num", F.monotonically_increasing_id()), "classes")
+    lists = store(_members(reps, shared_postings(_referred(docs), counts)), "postings")
     found = roots(links(docs, reps, lists))
-    rooted = reps.join(found.withColumnRenamed("node", "key"), "key")
+    rooted = reps.join(found.withColumnRenamed("node", "num"), "num")
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component"))
     labels = rooted.join(least, "root").select(F.col("key").alias("_key"), "component", "members")
-    copies = reps.filter("members > 1").join(found, F.col("key") == F.col("node"), "left_anti").select(F.col("key").alias("_key"), F.col("first_id").alias("component"), "members")
+    copies = reps.filter("members > 1").join(found, F.col("num") == F.col("node"), "left_anti").select(F.col("key").alias("_key"), F.col("first_id").alias("component"), "members")
     joined = rows.join(labels.unionByName(copies), (F.col("key") == F.col("_key")) & (F.col("n") > 0), "left")
     return joined.select(
         "doc_id", F.col("n").alias("n_shingles"),
