@@ -8,14 +8,12 @@ records are spread by their id, and windows run over buckets of the order.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from datetime import timedelta
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ohmwatch.operators.features import ROLLING_ROWS, nan_to_null
 from ohmwatch.operators.ordered import BUCKET_ROWS, over_order
@@ -23,8 +21,6 @@ from ohmwatch.schema import KEY, TIME
 from ohmwatch.session import store
 
 _DONE = "__done"
-# Groups over which waiting records are spread; each keeps its share of the records of one delay.
-SLOTS = 64
 _JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
@@ -38,34 +34,16 @@ def _windows() -> dict[str, Callable]:
     }
 
 
-def _release(slot: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Rows up to the watermark go on, later ones wait in the state until the watermark passes the first of them."""
-    micros, rows = ([*part] for part in state.get) if state.exists else ([], [])
-    for frame in frames:
-        micros += frame["micros"].tolist()
-        rows += frame["row"].tolist()
-    limit = state.getCurrentWatermarkMs() * 1000
-    waiting = [i for i, m in enumerate(micros) if m > limit]
-    if waiting:
-        state.update(([micros[i] for i in waiting], [rows[i] for i in waiting]))
-        state.setTimeoutTimestamp(-(-min(micros[i] for i in waiting) // 1000))
-    elif state.exists:
-        state.remove()
-    yield pd.DataFrame({"row": [r for m, r in zip(micros, rows) if m <= limit]}, dtype="object")
-
-
-def in_order(stream: DataFrame, delay: timedelta, slots: int = SLOTS) -> DataFrame:
+def in_order(stream: DataFrame, delay: timedelta) -> DataFrame:
     """The stream's rows as JSON (``row``), each released when the watermark has passed its time.
 
+    A time and record id is an entry of the state, written once and taken out once, whatever waits beside it.
     Rows that come more than ``delay`` after the latest time seen are late and dropped, as are rows without a time.
     """
     rows = nan_to_null(stream).where(F.col(TIME).isNotNull())
-    slot = F.pmod(F.xxhash64(KEY), F.lit(slots)).alias("slot")
-    packed = rows.select(TIME, slot, F.unix_micros(TIME).alias("micros"), F.to_json(F.struct(*rows.columns), _JSON).alias("row"))
-    marked = packed.withWatermark(TIME, f"{int(delay.total_seconds() * 1000)} milliseconds")
-    return marked.groupBy("slot").applyInPandasWithState(
-        _release, "row string", "micros array<long>, rows array<string>", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    marked = rows.select(TIME, KEY, F.struct(*rows.columns).alias("row")).withWatermark(TIME, f"{int(delay.total_seconds() * 1000)} milliseconds")
+    waiting = marked.groupBy(TIME, KEY).agg(F.collect_list("row").alias("rows"))
+    return waiting.select(F.explode("rows").alias("row")).select(F.to_json("row", _JSON).alias("row"))
 
 
 class RollingStream:
