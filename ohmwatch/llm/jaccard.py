@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ohmwatch.llm.common import arrow_parts, store, table, word_runs
 from ohmwatch.llm.components import roots
@@ -149,7 +149,7 @@ def _added(cells: DataFrame) -> np.ndarray:
 
 
 def _postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """token, key, n, least (matches the document demands), hot: the prefix of each document; copies in a task once."""
+    """token, key, least (matches the document demands), hot: the prefix of each document; copies in a task once."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)  # CELLS numbers, whatever the input
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,25 +171,25 @@ def _postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 order = order[:longest]
                 wanted = matches(len(found), others[cell[order]])
                 order = order[: len(found) - int(least_overlap(len(found))) + wanted]
-                rows.append((found[order].view(np.int64), key, len(found), wanted, others[cell[order]] > HOT))
+                rows.append((found[order].view(np.int64), key, wanted, others[cell[order]] > HOT))
             if len(met) > 1 << 20:
                 met.clear()
             if rows:
-                token, key, n, wanted, hot = zip(*rows)
+                token, key, wanted, hot = zip(*rows)
                 owner = np.repeat(np.arange(len(rows)), [len(t) for t in token])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate(token)), pa.array(key, pa.binary()).take(pa.array(owner)), pa.array(np.array(n, np.int32)[owner]),
+                        pa.array(np.concatenate(token)), pa.array(key, pa.binary()).take(pa.array(owner)),
                         pa.array(np.array(wanted, np.int32)[owner]), pa.array(np.concatenate(hot)),
                     ],
-                    ["token", "key", "n", "least", "hot"],
+                    ["token", "key", "least", "hot"],
                 )
 
-    return docs.select("text").mapInArrow(scan, "token long, key binary, n int, least int, hot boolean")
+    return docs.select("text").mapInArrow(scan, "token long, key binary, least int, hot boolean")
 
 
 def _met_again(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of postings sorted by token and key, those whose token has another key; repeated ones once.
+    """Of postings sorted by token and short key, those whose token has another key; repeated ones once.
 
     ``held`` is the number of keys met with the token; a list that goes on in the next batch is counted in parts.
     """
@@ -202,7 +202,7 @@ def _met_again(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         token = rows["token"].to_numpy()
         same_token = token[1:] == token[:-1]
-        same_key = np.array(pc.equal(rows["key"].slice(1), rows["key"].slice(0, rows.num_rows - 1)))
+        same_key = np.array(pc.equal(rows["short"].slice(1), rows["short"].slice(0, rows.num_rows - 1)))
         fresh = np.concatenate([[True], ~(same_token & same_key)])
         rows, token = rows.filter(pa.array(fresh)), token[fresh]
         again = np.concatenate([[False], token[1:] == token[:-1]])
@@ -220,14 +220,21 @@ def _met_again(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shared_postings(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """token, key, n, least, hot, held: prefix postings, each once, of tokens that several documents have in their prefix.
+    """token, short, least, hot, held: prefix postings, each once, of tokens that several documents have in their prefix.
 
-    The list of a token expected in many documents (``hot``) is dealt out by key and kept as it is.
+    The list of a token expected in many documents (``hot``) is dealt out by key and kept as it is.  Most postings are
+    of tokens that nobody shares, so they are shuffled with 64 bits of the key (``short``) and nothing known elsewhere.
     """
-    salt = F.when(F.col("hot"), F.xxhash64("key")).otherwise(F.lit(0))
-    rows = _postings(docs, counts).withColumn("held", F.lit(2)).withColumn("more", F.col("hot"))
-    dealt = rows.repartition("token", salt).sortWithinPartitions("token", "key")
-    return dealt.mapInArrow(_met_again, "token long, key binary, n int, least int, hot boolean, held int, more boolean").drop("more")
+    rows = _postings(docs, counts).select("token", short("key").alias("short"), "least", "hot")
+    salt = F.when(F.col("hot"), F.col("short")).otherwise(F.lit(0))
+    dealt = rows.repartition("token", salt).sortWithinPartitions("token", "short")
+    dealt = dealt.withColumn("held", F.lit(2)).withColumn("more", F.col("hot"))
+    return dealt.mapInArrow(_met_again, "token long, short long, least int, hot boolean, held int, more boolean").drop("more")
+
+
+def short(key: str) -> Column:
+    """64 bits of a key, as many as name a shingle: classes that agree in them by chance pass for one in the lists."""
+    return F.xxhash64(key)
 
 
 def _members(reps: DataFrame, postings: DataFrame) -> DataFrame:
@@ -236,8 +243,9 @@ def _members(reps: DataFrame, postings: DataFrame) -> DataFrame:
     Postings shared with many others make a good pivot, a central one: the text that the others of a group were made from.
     """
     length = F.floor((F.col("n") * (UNDER - OVER)) / UNDER) + F.col("least")
-    central = F.sum(F.log("held") / length).over(Window.partitionBy("key")).cast("float")
-    numbered = postings.join(reps.select("key", "num"), "key").withColumn("central", central)
+    central = F.sum(F.log("held") / length).over(Window.partitionBy("short", "num")).cast("float")
+    known = reps.select(short("key").alias("short"), "num", F.col("n").cast("int").alias("n"))
+    numbered = postings.join(known, "short").withColumn("central", central)
     return numbered.select("token", F.col("num").alias("key"), "n", "least", "hot", "central")
 
 
@@ -359,7 +367,7 @@ def links(docs: DataFrame, reps: DataFrame, lists: DataFrame) -> DataFrame:
         if not new or pairs <= budget:
             break
     bits = [F.col(f"b{i}") for i in range(WIDE)]
-    full = store(now.join(reps.select(F.col("num").alias("key"), *bits), "key"), "members")
+    full = store(now.drop("hot", "central").join(reps.select(F.col("num").alias("key"), *bits), "key"), "members")
     one = full.filter("root != major").select("token", *[F.col(c).alias(f"o_{c}") for c in ("key", "n", "least", "root")], *[F.col(f"b{i}").alias(f"x{i}") for i in range(WIDE)])
     pairs = full.join(one, "token").filter(
         (F.col("root") != F.col("o_root")) & ((F.col("root") == F.col("major")) | (F.col("key") < F.col("o_key"))) & _lengths("n", "o_n") & _few_bits("b", "x", "n", "o_n")
@@ -377,7 +385,7 @@ def similar_classes(docs: DataFrame) -> DataFrame:
     digest of the set; classes, not copies, are compared.  Texts that are null, empty or blank have an empty set and
     are linked with nothing, not even their copies; repeated rows with words are linked.  Rows with a null id take
     part; component_id is null where no other id is reachable.  Very long texts are read in runs of words.  An empty
-    table gives no rows; other columns are not read.  Shingles are compared by 64-bit hashes, classes by 128 bits.
+    table gives no rows; other columns are not read.  Shingles are compared by 64-bit hashes, classes by 128 bits; lists name a class by 64 bits of these.
     """
     scanned = store(_scanned(docs), "scanned")
     rows = scanned.filter("cells IS NULL")
