@@ -116,7 +116,8 @@ def links_within(prints: DataFrame, max_bits: int) -> DataFrame:
     kept = prints.select("fp", F.explode(F.array(*rows)).alias("at")).select("fp", "at.segment", "at.value")
     asked = prints.select(F.col("fp").alias("other"), F.explode(F.array(*asks)).alias("at")).select("other", "at.segment", "at.value").filter("value IS NOT NULL")
     differ = F.bit_count(F.col("fp").bitwiseXOR(F.col("other")))
-    found = kept.join(asked, ["segment", "value"]).filter((F.col("fp") != F.col("other")) & (differ <= max_bits))
+    # Spark does not count what explode adds: by its size, a table of ten million asks might be broadcast.
+    found = kept.join(asked.hint("merge"), ["segment", "value"]).filter((F.col("fp") != F.col("other")) & (differ <= max_bits))
     return found.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))
 
 

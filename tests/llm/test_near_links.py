@@ -96,3 +96,12 @@ def test_print_links_are_all_pairs_within_two_bits(spark):
     near = [(keys[i], keys[j]) for i in range(len(keys)) for j in range(i) if ((prints[i] ^ prints[j]) % 2**64).bit_count() <= 2]
     got = [(r.a, r.b) for r in simhash.print_links(rows).collect()]
     assert groups(got, keys) == groups(near, keys)
+
+
+def test_asks_of_fingerprints_are_not_broadcast(spark):
+    """Each fingerprint asks for dozens of values, which Spark's estimate of an exploded table leaves out."""
+    prints = spark.range(2000).selectExpr("xxhash64(id) AS fp")
+    links = simhash.links_within(prints, 2)
+    assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
+    links.collect()
+    assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
