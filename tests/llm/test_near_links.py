@@ -105,3 +105,9 @@ def test_asks_of_fingerprints_are_not_broadcast(spark):
     assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
     links.collect()
     assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
+
+
+def test_links_of_the_near_duplicate_stage_are_merged(spark):
+    """The stage of the pipeline takes the same way: the exploded tables meet in a merge join."""
+    prints = spark.range(2000).selectExpr("id AS key", "xxhash64(id % 1500) AS fp")
+    assert "SortMergeJoin [segment" in simhash.print_links(prints)._jdf.queryExecution().executedPlan().toString()
